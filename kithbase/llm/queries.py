@@ -22,6 +22,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_quality import judge, train
+
+    docs = documents(spark, sf_dir)
+    return judge(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gam import classify
+
+    return classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -35,6 +48,8 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_sharding": op6_sharding,
     "op9_fingerprints": op9_fingerprints,
     "op8_mixing": op8_mixing,
