@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .lexer import texts
 from .store import slim_batches
@@ -246,17 +246,25 @@ def vocabulary(path: str) -> bytes:
         return f.read()
 
 
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def encode(docs: DataFrame, blob: bytes, pattern: str, emit: str = "digest") -> DataFrame:
     """Encode every text of docs (doc_id, text) and decode the ids again.
 
     emit="digest": doc_id, n_tokens, ids_sha256, decoded_sha256.
     emit="ids": all columns of docs plus tokens (array<int>).
+    emit="both": doc_id, source, tokens and the digests.
     Null counts as an empty text, which has no tokens. Repeated rows give
-    equal results; an empty table gives an empty result. A column `tokens`
-    of docs is replaced.
+    equal results; an empty table gives an empty result. Columns of docs
+    named like new ones are replaced.
     """
     slim_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(blob)  # under a megabyte, whatever the input
+    passed = [c for c in {"digest": ["doc_id"], "ids": docs.columns, "both": ["doc_id", "source"]}[emit] if c != "tokens" and (emit == "ids" or c not in DIGESTS)]
+    new = [*(["tokens"] if emit != "digest" else []), *(DIGESTS if emit != "ids" else [])]
+    kinds = {"tokens": ArrayType(IntegerType()), "n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": StringType()}
+    own = docs.select(*passed, *([] if "text" in passed else ["text"]))
 
     def rows(batches):
         coder = Encoder(_loaded(shared.value), pattern)
@@ -264,17 +272,13 @@ def encode(docs: DataFrame, blob: bytes, pattern: str, emit: str = "digest") ->
             array = texts(batch.column(batch.schema.get_field_index("text")))
             for at, block in pieces(array):
                 ids, edges = coder.encode(block)
-                part = batch.slice(at, len(block))
-                if emit == "ids":
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))], [*part.schema.names, "tokens"])
-                    continue
-                raw, flat = ids.astype("<u4"), coder.ranks.decode(ids)
-                cut = np.concatenate([[0], np.cumsum(coder.ranks.length[ids])])[edges]
-                sha = lambda a, e: [hashlib.sha256(a[i:j]).hexdigest() for i, j in zip(e[:-1].tolist(), e[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(edges)), pa.array(sha(raw, edges)), pa.array(sha(flat, cut))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    if emit == "ids":
-        docs = docs.drop("tokens")
-        return docs.mapInArrow(rows, StructType([*docs.schema.fields, StructField("tokens", ArrayType(IntegerType()))]))
-    own = docs.select("doc_id", "text")
-    return own.mapInArrow(rows, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                columns = dict(zip(batch.schema.names, batch.slice(at, len(block)).columns, strict=True))
+                columns["tokens"] = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))
+                if emit != "ids":
+                    flat = coder.ranks.decode(ids)
+                    cut = np.concatenate([[0], np.cumsum(coder.ranks.length[ids])])[edges]
+                    sha = lambda a, e: [hashlib.sha256(a[i:j]).hexdigest() for i, j in zip(e[:-1].tolist(), e[1:].tolist(), strict=True)]
+                    columns |= {"n_tokens": pa.array(np.diff(edges)), "ids_sha256": pa.array(sha(ids.astype("<u4"), edges)), "decoded_sha256": pa.array(sha(flat, cut))}
+                yield pa.RecordBatch.from_arrays([columns[c] for c in (*passed, *new)], [*passed, *new])
+
+    return own.mapInArrow(rows, StructType([*(own.schema[c] for c in passed), *(StructField(c, kinds[c]) for c in new)]))
