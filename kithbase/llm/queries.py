@@ -78,6 +78,13 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import held_out, score, train
+
+    docs = documents(spark, sf_dir)
+    return score(docs, *train(docs.filter(~held_out())))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 #: DuckDB SQL where SQL can express the whole result.
