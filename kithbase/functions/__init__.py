@@ -1 +1 @@
-"""Part of kithbase."""
+"""Scalar functions as Columns."""

@@ -1 +1 @@
-"""Part of kithbase."""
+"""Filter trees, sort orders and their compilation to DataFrame plans."""
