@@ -52,8 +52,8 @@ def delete_verdict(ids: DataFrame, contacts: DataFrame, key: str = "contactId",
 def undelete(df: DataFrame, touched: Column) -> DataFrame:
     """Takes back a deletion: the flag goes, and the time."""
     hit = touched & (F.col("changeFlags") >= DELETED)
-    out = df.withColumn("changeFlags", F.when(hit, F.col("changeFlags") - DELETED).otherwise(F.col("changeFlags")))
-    return out.withColumn("deleted", F.when(hit, F.lit(None)).otherwise(F.col("deleted"))) if "deleted" in df.columns else out
+    new = {"changeFlags": F.when(hit, F.col("changeFlags") - DELETED).otherwise(F.col("changeFlags")), "deleted": F.when(~hit, F.col("deleted"))}
+    return df.withColumns({c: e for c, e in new.items() if c in df.columns})
 
 
 def fetch_changes(contacts: DataFrame, collections: list[int], with_unmodified: bool = False) -> tuple[DataFrame, DataFrame]:

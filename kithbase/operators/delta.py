@@ -84,6 +84,8 @@ def pairing(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str],
     same = a.alias("a").join(b.alias("b"), [*keys, "detailId"])
     by_id = same.select(*keys, F.lit("modified").alias("change"), F.col("detailId").alias("oldId"), F.col("detailId").alias("newId"), distance([(F.col(f"a.{f}"), F.col(f"b.{f}")) for f in fields]).cast("long").alias("distance"))
     rest = [x.join(y.select(*keys, "detailId"), [*keys, "detailId"], "left_anti") for x, y in ((a, b), (b, a))]
+    # the two sides come from the same tables; new names keep their columns apart
+    rest = [x.toDF(*x.columns) for x in rest]
     kinds = ", ".join(f"{k} {dict(old.dtypes)[k]}" for k in keys)
     greedy = rest[0].groupBy(*keys).cogroup(rest[1].groupBy(*keys)).applyInPandas(_greedy(fields, keys), f"{kinds}, change string, oldId long, newId long, distance long")
     return by_id.unionByName(greedy)
