@@ -74,7 +74,7 @@ def compile_sort(b: Binding, df: DataFrame, keys: list[Sort]) -> tuple[DataFrame
         text = field.kind in ("string", "phone")
         is_blank = blank(c) if text else c.isNull()
         order.append(is_blank.asc() if key.blanks == "last" else is_blank.desc())
-        c = collated(c, key) if text else c
+        c = collated(F.coalesce(c, F.lit("")), key) if text else c
         order.append(c.desc() if key.descending else c.asc())
     return df, [*order, F.col(b.key).asc()], extra
 

@@ -51,6 +51,5 @@ def id_list(spark: SparkSession, ids: list[int]) -> DataFrame:
 
 def fetch_by_ids(table: DataFrame, ids: list[int], key: str = "contactId", most: int | None = None) -> DataFrame:
     """Rows for the ids in their order (pos); a missing id has a row without values and exists = false."""
-    wanted = id_list(table.sparkSession, ids[:most] if most is not None else ids)
-    found = table.withColumn("exists", F.lit(True))
-    return F.broadcast(wanted).join(found, F.col("id") == F.col(key), "left").withColumn("exists", F.coalesce("exists", F.lit(False))).drop(key).withColumnRenamed("id", key)
+    wanted = id_list(table.sparkSession, ids[:most] if most is not None else ids).withColumnRenamed("id", key)
+    return wanted.join(table.withColumn("exists", F.lit(True)), key, "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
