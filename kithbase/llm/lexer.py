@@ -134,10 +134,15 @@ class Block:
         return mix(h)
 
 
-def per_doc(mask_or_values: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Sums of the values between edges[i] and edges[i + 1]; 0 for an empty stretch."""
-    total = np.zeros(len(mask_or_values) + 1, np.float64 if mask_or_values.dtype.kind == "f" else np.int64)
-    np.cumsum(mask_or_values, out=total[1:])
+def per_doc(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of the values between edges[i] and edges[i + 1]; 0 for an empty stretch. Sums of fractions don't depend on what stands around."""
+    if values.dtype.kind == "f":
+        out, full = np.zeros(len(edges) - 1), np.flatnonzero(edges[1:] > edges[:-1])
+        if len(full):
+            out[full] = np.add.reduceat(values[: edges[-1]], edges[full])
+        return out
+    total = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=total[1:])
     return total[edges[1:]] - total[edges[:-1]]
 
 

@@ -97,9 +97,9 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def with_hash(docs: DataFrame) -> DataFrame:
-    """Adds h: 36 bits of hash of id and text."""
-    return docs.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(8), "doc_id", F.coalesce("text", F.lit(""))), 64 - BITS * LEVELS))
+def _hash() -> Column:
+    """36 bits of hash of id and text."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(8), "doc_id", F.coalesce("text", F.lit(""))), 64 - BITS * LEVELS)
 
 
 def _copies() -> Column:
@@ -118,11 +118,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     share one fate. An empty table gives an empty result. Reruns agree, as
     the choice depends on rows alone and not on their order.
     """
-    hashed = with_hash(docs)
-    rows = stash(hashed.select("doc_id", F.col("source").alias("src"), word_count(F.col("text")).alias("size"), "h"), "mix")
+    rows = stash(docs.select("doc_id", F.col("source").alias("src"), word_count(F.col("text")).alias("size"), _hash().alias("h")), "mix")
     plan = F.broadcast(thresholds(rows, source_targets(rows, weights, share, most)))
     if emit == "counts":
         return rows.join(plan.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (_copies() * F.col("size")).alias("taken"))
     names = docs.columns
-    kept = hashed.select(F.struct(*[hashed[c] for c in names]).alias("row"), "h", F.col("source").alias("src")).join(plan.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s")))
+    kept = docs.select(F.struct(*names).alias("row"), _hash().alias("h"), F.col("source").alias("src")).join(plan.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s")))
     return kept.withColumn("n", _copies()).filter("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*[F.col("row").getField(c).alias(c) for c in names])
