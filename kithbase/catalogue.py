@@ -282,7 +282,7 @@ def phone_minimise(spark, sf_dir):
     return orders(spark, sf_dir).select("detailId", phone.minimise(c).alias("short"), text.strip_phone(c).alias("stripped"), phone.normalise(c).alias("dialled"))
 
 
-@query("phone_normalise")
+@query("phone_normalise", "SELECT detailId, phone AS punctuated, '+' || translate(phone, '+() -', '') || 'p' || days AS dial_string, '+' || translate(phone, '+() -', '') || 'p' || days AS native FROM ords", "ords")
 def phone_normalise(spark, sf_dir):
     c = F.concat("phone", F.lit("x"), F.col("days").cast("string"))
     return orders(spark, sf_dir).select("detailId", phone.normalise_udf(punctuation=True, validate=True)(c).alias("punctuated"), phone.normalise_udf(dial_string=True)(c).alias("dial_string"), phone.normalise(c).alias("native"))
