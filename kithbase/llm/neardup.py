@@ -8,15 +8,23 @@ A slot's value is the earliest time of its points, so two texts agree in a
 slot with the probability of their weighted Jaccard similarity. Only points
 up to a bound are made at all: some m * ln(m) for a text of any length.
 
-Slots are banded; texts that share a band are candidates. In each bucket all
-members are compared with one representative (another one in each band);
-members that fail go on among themselves. The overlap of multisets is then
-computed exactly. What a representative can't decide is settled by the
-triangle inequality (see _fringe).
+Slots are banded; texts that share a band are candidates (at a similarity of
+0.8 all bands fail five times in a million). In each bucket the members are
+compared with one representative, then with four more, by the exact
+overlap of multisets. The representative is the member that meets most
+others over all buckets: of a text and its many copies, the text itself.
+Links join components; a bucket is done when all its members are in one.
+What is then unsettled (texts that share a long passage with many others, say)
+is settled exactly by a prefix filter: two texts of that similarity must share
+a shingle among the fifth of their weight that comes first, the rarest first,
+so passages that many share bring no candidates. So no bucket's pairs are all
+made, and no link that joins two components is missed.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,11 +34,13 @@ from .lexer import Block, blocks, mix, salted
 from .store import slim_batches, stash
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 25, 4
+BANDS, ROWS = 40, 6
 SLOTS = BANDS * ROWS
 UNIT = 40  # times are integers, in 2**-40
 NEVER = np.uint64(2**64 - 1)
 MEMBERS_PER_TASK = 1000
+#: Rounds of representatives; and how many of the most frequent shingles of unsettled texts are known by name.
+ROUNDS, COMMON = 2, 200_000
 
 
 def shingles(b: Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,10 +163,27 @@ def sketch(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(rows, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, cid binary, bands array<long>")
 
 
-def _round(members: DataFrame) -> DataFrame:
-    """b, cid, rep of the members (b, cid) of buckets with two at least. The representative is drawn by a hash of member and bucket; it is found by partial aggregation, so no bucket meets in one task."""
-    rep = members.groupBy("b").agg(F.min(F.struct(F.xxhash64("cid", "b").alias("rank"), "cid")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("b", F.col("m.cid").alias("rep"))
-    return members.join(rep, "b").filter(F.col("cid") != F.col("rep"))
+def _shared(classes: DataFrame) -> DataFrame:
+    """b, cid, degree of the members of all buckets with two at least; degree is how often a class meets others, over all its buckets."""
+    bands = classes.select(F.explode("bands").alias("b"), "cid")
+    members = bands.join(bands.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "b")
+    degree = members.groupBy("cid").agg(F.sum(F.col("n") - 1).alias("degree"))
+    return members.select("b", "cid").join(degree, "cid").select("b", "cid", "degree")
+
+
+def _open(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The members, with their component, of buckets in which two components meet."""
+    placed = members.join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")) if label is not None else members.withColumn("comp", F.col("cid"))
+    ends = placed.groupBy("b").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("b")
+    return placed.join(ends, "b", "left_semi")
+
+
+def _representatives(members: DataFrame, used: DataFrame | None, number: int) -> DataFrame:
+    """b, rep, rep_comp: up to 4**number members of each bucket that weren't representatives before, those of the highest degree. Found by partial aggregation: no bucket meets in one task."""
+    free = members if used is None else members.join(used.select("b", F.col("rep").alias("cid")), ["b", "cid"], "left_anti")
+    place = F.pmod(F.xxhash64("b", "cid", F.lit(number)), F.lit(4**number))
+    best = free.groupBy("b", place.alias("place")).agg(F.max(F.struct("degree", F.xxhash64("cid", "b").alias("draw"), "cid", "comp")).alias("m"))
+    return best.select("b", F.col("m.cid").alias("rep"), F.col("m.comp").alias("rep_comp"))
 
 
 def verify(pairs: DataFrame, payload: DataFrame) -> DataFrame:
@@ -190,6 +217,59 @@ def verify(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     return member.union(head).repartition("rep", "task").sortWithinPartitions("rep", "task", F.asc_nulls_first("cid")).mapInArrow(rows, "cid binary, rep binary, similarity double")
 
 
+def _bags(df: DataFrame, rows, schema: str) -> DataFrame:
+    """mapInArrow over (cid, comp, text): rows(part, doc, shingle, count) gives each block's record batch."""
+
+    def run(batches):
+        for batch in batches:
+            for part, b in blocks(batch, "text"):
+                yield rows(part, *shingles(b))
+
+    return df.select("cid", "comp", "text").mapInArrow(run, schema)
+
+
+def _unsettled(texts: DataFrame, similarity: float) -> DataFrame:
+    """cid, rep: the pairs of different components among the texts (cid, comp, text) that can reach the similarity.
+
+    Shingles are put into one order: those not known as common by their hash,
+    then the common ones by frequency. If two texts share no shingle of their
+    prefixes, all they share lies behind the end of the shorter reaching
+    prefix, and is less than the needed part of that text. Any order will do
+    for that; this one keeps frequent shingles out of most prefixes.
+    """
+
+    def counted(part, doc, s, n):
+        h, c = np.unique(s, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["s", "n"])
+
+    frequent = _bags(texts, counted, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    # At most COMMON pairs of numbers, whatever the input.
+    key, often = np.asarray(frequent["s"]).astype(np.int64).view(np.uint64), np.asarray(frequent["n"]).astype(np.int64)
+    order = np.argsort(key)
+    key, often = key[order], often[order]
+
+    def prefixes(part, doc, s, n):
+        f = np.zeros(len(s), np.int64)
+        if len(key):
+            at = np.minimum(np.searchsorted(key, s), len(key) - 1)
+            f = np.where(key[at] == s, often[at], 0)
+        by = np.lexsort((s, f, doc))
+        doc, s, n = doc[by], s[by], n[by]
+        total = np.bincount(doc, n, part.num_rows)
+        run = np.cumsum(n) - n
+        first = np.searchsorted(doc, np.arange(part.num_rows))
+        before = run - run[np.minimum(first, max(0, len(run) - 1))][doc] if len(run) else run
+        use = before <= (1 - similarity) * total[doc] + 1e-9
+        take = pa.array(doc[use])
+        return pa.RecordBatch.from_arrays([pa.array(s[use].view(np.int64)), part.column(0).take(take), part.column(1).take(take)], ["s", "cid", "comp"])
+
+    rows = _bags(texts, prefixes, "s long, cid binary, comp binary")
+    shared = rows.groupBy("s").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("s")
+    rows = stash(rows.join(shared, "s", "left_semi"), "prefixes")
+    other = rows.select("s", F.col("cid").alias("rep"), F.col("comp").alias("rep_comp"))
+    return rows.join(other, "s").filter((F.col("comp") != F.col("rep_comp")) & (F.col("cid") < F.col("rep"))).select("cid", "rep").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """cid, comp: the least member of each connected component of the edges (u, v). Labels spread to neighbours and jump along themselves until none changes; nothing is collected."""
     both = stash(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct(), "edges")
@@ -204,51 +284,37 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _fringe(tried: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
-    """Pairs that could still link two components, though no representative has shown it.
-
-    tried: b, cid, rep, similarity. 1 - similarity is a metric. If cid failed
-    against rep, a member x of rep's star can be within reach of cid only if
-    d(x, rep) >= d(cid, rep) - reach, and d(cid, rep) <= 2 * reach. Pairs whose
-    components have met since are left out.
-    """
-    reach = 1 - similarity
-    home = lambda c: label.select(F.col("cid").alias(c), F.col("comp").alias(f"{c}_comp"))
-    lost = tried.filter((F.col("similarity") < similarity) & (1 - F.col("similarity") <= 2 * reach))
-    lost = lost.join(home("cid"), "cid", "left").join(home("rep"), "rep", "left").filter(F.coalesce("cid_comp", "cid") != F.coalesce("rep_comp", "rep"))
-    lost = lost.select("b", "rep", F.col("cid").alias("x"), (1 - F.col("similarity")).alias("dx"))
-    star = tried.filter(F.col("similarity") >= similarity).select("b", "rep", "cid", (1 - F.col("similarity")).alias("dc"))
-    return lost.join(star, ["b", "rep"]).filter(F.col("dc") >= F.col("dx") - reach - 1e-9).select(F.least("x", "cid").alias("rep"), F.greatest("x", "cid").alias("cid")).distinct()
-
-
 def group(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(cid, comp, copies, first, size of every class of equal texts; doc_id, cid, bands of every row). comp is the group of near duplicates, first the least (doc_id, cid) in it, size its rows."""
     rows = stash(sketch(docs), "sketch")
     classes = stash(rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "classes")
-    members = _round(classes.select(F.explode("bands").alias("b"), "cid"))
-    members = stash(members, "members")
-    involved = members.select("cid").union(members.select("rep")).distinct()
+    members = stash(_shared(classes), "members")
     texts = docs.select(_cid().alias("cid"), F.coalesce("text", F.lit("")).alias("text"))
-    payload = stash(texts.join(involved, "cid", "left_semi").dropDuplicates(["cid"]), "payload")
-    known, tried = None, None
-    while True:
-        pairs = members.select(F.least("cid", "rep").alias("rep"), F.greatest("cid", "rep").alias("cid")).distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("cid", "rep"), ["cid", "rep"], "left_anti")
+    payload = stash(texts.join(members.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "payload")
+    known = used = label = None
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal known, label
+        pairs = pairs if known is None else pairs.join(known.select("cid", "rep"), ["cid", "rep"], "left_anti")
         fresh = stash(verify(pairs, payload), "verified")
         known = fresh if known is None else known.union(fresh)
-        judged = members.withColumns({"u": F.least("cid", "rep"), "v": F.greatest("cid", "rep")}).join(known.select(F.col("rep").alias("u"), F.col("cid").alias("v"), "similarity"), ["u", "v"]).select("b", "cid", "rep", "similarity")
-        judged = stash(judged, "judged")
-        tried = judged if tried is None else tried.union(judged)
-        members = stash(_round(judged.filter(F.col("similarity") < similarity).select("b", "cid")), "members")
-        if members.isEmpty():
+        label = components(known.filter(F.col("similarity") >= similarity).select(F.col("cid").alias("u"), F.col("rep").alias("v")))
+
+    for number in range(ROUNDS):
+        members = stash(_open(members.select("b", "cid", "degree"), label), "open")
+        reps = stash(_representatives(members, used, number), "representatives")
+        if reps.isEmpty():
             break
-    link = known.filter(F.col("similarity") >= similarity).select(F.col("rep").alias("u"), F.col("cid").alias("v"))
-    label = components(link)
-    rest = stash(_fringe(tried, label, similarity).join(known.select("cid", "rep"), ["cid", "rep"], "left_anti"), "fringe")
-    if not rest.isEmpty():
-        link = link.union(stash(verify(rest, payload), "verified").filter(F.col("similarity") >= similarity).select(F.col("rep").alias("u"), F.col("cid").alias("v")))
-        label = components(link)
+        used = reps.select("b", "rep") if used is None else used.union(reps.select("b", "rep"))
+        apart = members.join(reps, "b").filter(F.col("comp") != F.col("rep_comp"))
+        settle(apart.select(F.least("cid", "rep").alias("cid"), F.greatest("cid", "rep").alias("rep")).distinct())
+    else:
+        rest = _open(members.select("b", "cid", "degree"), label).select("cid", "comp").distinct()
+        rest = stash(payload.join(rest, "cid"), "unsettled")
+        if not rest.isEmpty():
+            settle(_unsettled(rest, similarity))
+    if label is None:
+        label = classes.select("cid", F.col("cid").alias("comp")).limit(0)
     placed = classes.select("cid", "least", "copies").join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     first = placed.groupBy("comp").agg(F.min(F.struct("least", "cid")).alias("first"), F.sum("copies").alias("size"))
     return placed.join(first, "comp").select("cid", "comp", "copies", "first", "size"), rows
@@ -271,6 +337,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group: the one with the least doc_id, of repeated rows any one."""
     classes, _ = group(docs, similarity)
     keep = classes.select(F.col("first.least").alias("_id"), F.col("first.cid").alias("_cid")).distinct()
-    marked = docs.withColumn("_text_cid", _cid())
-    chosen = marked.join(keep, (F.col("_text_cid") == F.col("_cid")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return chosen.dropDuplicates(["_text_cid", "doc_id"]).select(*[marked[c] for c in docs.columns])
+    # The row goes as one struct, so that no column of docs can meet one of ours.
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), _cid().alias("cid"))
+    chosen = marked.join(keep, (F.col("cid") == F.col("_cid")) & F.col("id").eqNullSafe(F.col("_id")))
+    return chosen.dropDuplicates(["cid", "id"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = getattr(spark, "_kithbase_dir", None)
         if base is None:
-            base = spark._kithbase_dir = "file://" + tempfile.mkdtemp(prefix="kithbase-")
+            own = tempfile.mkdtemp(prefix="kithbase-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            base = spark._kithbase_dir = f"file://{own}"
     return base.rstrip("/")
 
 
