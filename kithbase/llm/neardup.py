@@ -236,6 +236,12 @@ def _unsettled(texts: DataFrame, similarity: float) -> DataFrame:
     prefixes, all they share lies behind the end of the shorter reaching
     prefix, and is less than the needed part of that text. Any order will do
     for that; this one keeps frequent shingles out of most prefixes.
+
+    From the first shared shingle on, a pair can share no more than either
+    text has left there. What it needs grows with both sizes, so the smaller
+    text of a pair is found by (1-s)/(1+s) of its weight already, and a match
+    counts only if what is left on both sides suffices. That holds at the first
+    match if at any (later ones leave less), so the condition of the join is exact.
     """
 
     def counted(part, doc, s, n):
@@ -259,15 +265,19 @@ def _unsettled(texts: DataFrame, similarity: float) -> DataFrame:
         run = np.cumsum(n) - n
         first = np.searchsorted(doc, np.arange(part.num_rows))
         before = run - run[np.minimum(first, max(0, len(run) - 1))][doc] if len(run) else run
-        use = before <= (1 - similarity) * total[doc] + 1e-9
-        take = pa.array(doc[use])
-        return pa.RecordBatch.from_arrays([pa.array(s[use].view(np.int64)), part.column(0).take(take), part.column(1).take(take)], ["s", "cid", "comp"])
+        use = before <= (1 - similarity) * total[doc] + 1e-6
+        take, size = pa.array(doc[use]), total[doc[use]].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(s[use].view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(size), pa.array(size - before[use])], ["s", "cid", "comp", "size", "left"])
 
-    rows = _bags(texts, prefixes, "s long, cid binary, comp binary")
+    rows = _bags(texts, prefixes, "s long, cid binary, comp binary, size long, left long")
     shared = rows.groupBy("s").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("s")
     rows = stash(rows.join(shared, "s", "left_semi"), "prefixes")
-    other = rows.select("s", F.col("cid").alias("rep"), F.col("comp").alias("rep_comp"))
-    return rows.join(other, "s").filter((F.col("comp") != F.col("rep_comp")) & (F.col("cid") < F.col("rep"))).select("cid", "rep").distinct()
+    part = similarity / (1 + similarity)
+    small = rows.filter(F.col("left") >= 2 * part * F.col("size") - 1e-6).select("s", *[F.col(c).alias(f"small_{c}") for c in ("cid", "comp", "size", "left")])
+    ordered = (F.col("small_size") < F.col("size")) | ((F.col("small_size") == F.col("size")) & (F.col("small_cid") < F.col("cid")))
+    enough = F.least("left", "small_left") >= part * (F.col("size") + F.col("small_size")) - 1e-6
+    pairs = rows.join(small, "s").filter(ordered & enough & (F.col("comp") != F.col("small_comp")))
+    return pairs.select(F.least("cid", "small_cid").alias("cid"), F.greatest("cid", "small_cid").alias("rep")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -68,6 +68,29 @@ def test_hard_cases(spark):
     assert kept == sorted(set(want.values()))
 
 
+def test_prefix_filter(spark):
+    """Mutated copies of one text near the threshold, of several lengths, some with repeated shingles: every pair that reaches the similarity is a candidate, and few others are."""
+    rng = np.random.RandomState(5)
+    base, docs = [f"w{x}" for x in rng.randint(0, 10**6, 150)], []
+    for _ in range(120):
+        text = list(base[: rng.randint(100, 151)]) if rng.rand() < 0.5 else list(base)
+        for at in rng.randint(0, len(text), rng.randint(0, 7)):
+            text[at] = f"w{rng.randint(0, 10**6)}"
+        docs.append(" ".join(text + text[:20] * rng.randint(0, 3)))
+    docs += ["a", "a b", "a b c d e", "", "x " * 50, "x " * 60]
+    key = [f"{i:05}".encode() for i in range(len(docs))]
+    got = {(bytes(r.cid), bytes(r.rep)) for r in neardup._unsettled(spark.createDataFrame([(k, k, t) for k, t in zip(key, docs, strict=True)], "cid binary, comp binary, text string"), 0.8).collect()}
+    bags = [bag(t) for t in docs]
+    want, every = set(), 0
+    for i, a in enumerate(bags):
+        for j in range(i + 1, len(bags)):
+            both = sum((a & bags[j]).values())
+            every += both > 0
+            if both and both >= 0.8 * (sum(a.values()) + sum(bags[j].values()) - both):
+                want.add((key[i], key[j]))
+    assert want and want <= got and len(got) < every / 2
+
+
 def test_agreement_is_weighted_jaccard():
     rng = np.random.RandomState(0)
     error = []
