@@ -4,8 +4,9 @@ The field labels tokens (runs of letters, digits or space, or one other
 character) with the beginning, inside or outside of a kind. Its features are
 the shapes of a token and its neighbours. It is trained here from a small
 labelled table made by rule, and decoded by Viterbi in numpy batches. Every
-span it may find has a digit or an @, so it reads the surroundings of these
-in every text, up to the end; elsewhere its answer is "outside".
+span it may find has a digit or an @. Its labels are those of a decode of the
+whole text: a text is cut only at tokens proved to be outside in that decode,
+and parts without digit or @ are passed over.
 """
 
 from __future__ import annotations
@@ -243,55 +244,136 @@ def train(steps: int = 45, seed: int = 11) -> Field:
 
 # --- application -------------------------------------------------------------------------------------------------
 
-#: Digits and @ less than this apart are read together, with as much before and after.
-AROUND = 24
-CORE = re.compile(r"[0-9@]+")
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and @; a window doesn't begin or end within a token. A long one is cut, between tokens, every 2000 characters."""
-    out: list[list[int]] = []
-    for m in CORE.finditer(text):
-        if out and m.start() - out[-1][1] < 2 * AROUND and m.end() - out[-1][0] < 2000:
-            out[-1][1] = m.end()
-        else:
-            out.append([m.start(), m.end()])
-    found = []
-    for a, b in out:
-        a, b = max(0, a - AROUND, found[-1][1] if found else 0), min(len(text), b + AROUND)
-        while a and text[a - 1].isalnum() and text[a].isalnum():
-            a -= 1
-        while b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
-            b += 1
-        found.append((a, b))
-    return found
+#: Tokens on each side that must bear out a cut, and tokens between the places tried.
+BEAR, BLOCK = 4, 32
+_CORE_SHAPES = np.array([s == "@" or s[:1] == "d" and s[1:].isdigit() for s in _SHAPES])
+
+
+class _Shapes(dict):
+    def __missing__(self, token: str) -> int:
+        found = shape(token)
+        if len(self) < 1 << 16 and len(token) < 64:
+            self[token] = found
+        return found
+
+
+_shape_of = _Shapes()
+
+
+def emissions(field: Field, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Scores of the labels of the tokens at the places `at` of the line of shapes x, which has REACH blanks round each text."""
+    e = sum(w[x[at + k]] for k, w in zip(range(-REACH, REACH + 1), field.near, strict=True))
+    return e + field.pair[0][x[at - 1] * N_SHAPES + x[at]] + field.pair[1][x[at] * N_SHAPES + x[at + 1]]
+
+
+def certain(field: Field, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the token is outside in the best labelling of its whole text, whatever stands further than BEAR tokens (and their features' reach) away.
+
+    That is so if, for each label BEAR tokens before and each label BEAR
+    tokens after, the best way from one to the other is outside here.
+    """
+    out = np.zeros(len(at), bool)
+    for lo in range(0, len(at), 256):
+        q = at[lo : lo + 256]
+        ways = []
+        for first in (1 - BEAR, 1):
+            e = emissions(field, x, q[:, None] + np.arange(first, first + BEAR))
+            way = field.move + e[:, 0, None, :]
+            for t in range(1, BEAR):
+                way = (way[:, :, :, None] + field.move).max(2) + e[:, t, None, :]
+            ways.append(way)
+        through = ways[0][:, :, :, None] + ways[1][:, None, :, :]
+        out[lo : lo + 256] = (through[:, :, 0] > through[:, :, 1:].max(2) + 1e-6).all((1, 2))
+    return out
+
+
+def cuts(field: Field, x: np.ndarray, inner: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """Places of certain outside tokens, tried in the blocks with a digit or @ and those next to them; inner: places far enough from their text's ends."""
+    near = np.unique((core[:, None] // BLOCK + [-1, 0, 1]).ravel())
+    near, found = near[near >= 0], []
+    for offsets in (np.arange(2), np.arange(2, 12)):
+        at = (near[:, None] * BLOCK + offsets).ravel()
+        at = at[at < len(x)]
+        at = at[inner[at]]
+        at = at[certain(field, x, at)]
+        found.append(at)
+        near = np.setdiff1d(near, at // BLOCK)
+    return np.sort(np.concatenate(found))
+
+
+def _labels(field: Field, x: np.ndarray, start: np.ndarray, length: np.ndarray, head: np.ndarray, tail: np.ndarray, out: np.ndarray) -> None:
+    """Viterbi over stretches of x at once; outside is given at the first token unless it is a text's head, and at the last unless it is its tail."""
+    width, rows = int(length.max()), np.arange(len(start))
+    e = emissions(field, x, np.minimum(start[:, None] + np.arange(width), (start + length - 1)[:, None]))
+    e[~head, 0, 1:] = -1e9
+    e[rows[~tail], length[~tail] - 1, 1:] = -1e9
+    best = np.empty((width, len(start), len(LABELS)))
+    best[0] = e[:, 0] + np.where(head[:, None], field.begin, 0)
+    for t in range(1, width):
+        best[t] = np.where((t < length)[:, None], (best[t - 1][:, :, None] + field.move).max(1) + e[:, t], best[t - 1])
+    label = best[-1].argmax(1)
+    for t in range(width - 1, -1, -1):
+        on = t < length
+        out[start[on] + t] = label[on]
+        if t:
+            label = np.where(on, (best[t - 1] + field.move[:, label].T).argmax(1), label)
 
 
 def field_spans(field: Field, strings: list[str], most: int = 1 << 15) -> list[list[tuple[int, int, int]]]:
-    """(start, kind number, end) for each string; rows of like length are decoded together."""
+    """(start, kind number, end) for each string, as by decoding each whole; where there is neither digit nor @ spans may be left out.
+
+    A text falls apart at tokens that are certainly outside: the parts don't
+    depend on each other, and those without digit or @ needn't be decoded.
+    """
     out: list[list] = [[] for _ in strings]
-    order = sorted(range(len(strings)), key=lambda i: len(strings[i]))
-    at = 0
-    while at < len(order):
-        to = at + 1
-        while to < len(order) and (to - at) * len(strings[order[to]]) < most:
-            to += 1
-        chosen = [i for i in order[at:to] if strings[i]]
-        at = to
-        if not chosen:
-            continue
-        spans, x, lengths = _rows([strings[i] for i in chosen])
-        labels = field.decode(x, lengths)
-        for row in np.flatnonzero(labels.any(1)):
-            open_, i = None, chosen[row]
-            for t in range(lengths[row]):
-                v = int(labels[row, t])
-                if v % 2 == 1:
-                    out[i].append(open_ := [spans[row][t][0], (v - 1) // 2, spans[row][t][1]])
-                elif v and open_:
-                    open_[2] = spans[row][t][1]
-                else:
-                    open_ = None
+    tokens = [TOKEN.findall(s) for s in strings]
+    count = np.array([len(t) for t in tokens], np.int64)
+    first = np.cumsum(count + REACH) - count  # place of each text's first token
+    x = np.zeros(int((count + REACH).sum()) + 2 * REACH, np.int64)
+    inner = np.zeros(len(x), bool)
+    for t, a in zip(tokens, first.tolist(), strict=True):
+        x[a : a + len(t)] = np.fromiter(map(_shape_of.__getitem__, t), np.int64, len(t))
+        inner[a + BEAR : max(a + BEAR, a + len(t) - BEAR)] = True
+    core = np.flatnonzero(_CORE_SHAPES[x])
+    if not len(core):
+        return out
+    # Stretches from cut to cut (both included), or to the ends of the text.
+    at, full = cuts(field, x, inner, core), count > 0
+    ends, cut = np.unique(np.concatenate([at, first[full], (first + count - 1)[full]])), np.zeros(len(x), bool)
+    cut[at] = True
+    is_head, is_tail = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    is_head[first[full]] = is_tail[(first + count - 1)[full]] = True
+    start, last = ends[:-1], ends[1:]
+    inside = ~is_tail[start] & ~is_head[last]
+    start, last = start[inside], last[inside]
+    single = (first[full])[count[full] == 1]
+    start, last = np.concatenate([start, single]), np.concatenate([last, single])
+    some = np.searchsorted(core, last, "right") > np.searchsorted(core, start)
+    start, last = start[some], last[some]
+    order = np.argsort(last - start, kind="stable")
+    start, length = start[order], (last - start)[order] + 1
+    labels, lo = np.zeros(len(x), np.int8), 0
+    while lo < len(start):
+        hi = lo + 1
+        while hi < len(start) and (hi + 1 - lo) * length[hi] <= most:
+            hi += 1
+        a, n = start[lo:hi], length[lo:hi]
+        _labels(field, x, a, n, is_head[a], is_tail[a + n - 1], labels)
+        lo = hi
+    marked = np.flatnonzero(labels)
+    for i in np.unique(np.searchsorted(first, marked, "right") - 1).tolist():
+        a, t = int(first[i]), tokens[i]
+        edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, t), np.int64, len(t)))]).tolist()
+        open_, before = None, -2
+        for k in (np.flatnonzero(labels[a : a + len(t)])).tolist():
+            v = int(labels[a + k])
+            if v % 2 == 1:
+                out[i].append(open_ := [edge[k], (v - 1) // 2, edge[k + 1]])
+            elif open_ and before == k - 1:
+                open_[2] = edge[k + 1]
+            else:
+                open_ = None
+            before = k
     return [[tuple(s) for s in row] for row in out]
 
 
@@ -301,11 +383,9 @@ _ADDED = {"email": re.compile(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+(?: ?\. ?[A-Z
 def find(field: Field, batch: list[str]) -> list[tuple[list, list]]:
     """For each text its base spans and all spans. A span of the field is added if it has the form of its kind and overlaps no base span."""
     base = [base_spans(t) for t in batch]
-    places = [(i, a, b) for i, t in enumerate(batch) for a, b in windows(t)]
     every = [list(s) for s in base]
-    for (i, a, _), got in zip(places, field_spans(field, [batch[i][a:b] for i, a, b in places]), strict=True):
+    for i, got in enumerate(field_spans(field, batch)):
         for start, kind, end in got:
-            start, end = start + a, end + a
             s = batch[i][start:end]
             if _ADDED[KINDS[kind]].fullmatch(s) and good(KINDS[kind], s) and not any(start < e and b < end for b, _, e in every[i]):
                 every[i].append((start, kind, end))

@@ -152,6 +152,32 @@ def test_pii_field(spark, docs):
     assert pii.redact(docs).filter("doc_id = 0").first().text is None
 
 
+def test_pii_whole_texts():
+    field = pii.train()
+
+    def whole(text):
+        (spans,), x, lengths = pii._rows([text])
+        out, open_ = [], None
+        for (a, b), v in zip(spans, field.decode(x, lengths)[0].tolist(), strict=False):
+            if v % 2 == 1:
+                out.append(open_ := [a, (v - 1) // 2, b])
+            elif v and open_:
+                open_[2] = b
+            else:
+                open_ = None
+        return [tuple(s) for s in out if re.search("[0-9@]", text[s[0] : s[2]])]
+
+    dense = "555-123-4567, " * 600
+    (_, every), = pii.find(field, [dense])
+    assert every == [(14 * i, 3, 14 * i + 12) for i in range(600)]
+    long = "john @ averylongcompanynamethatgoesonandonforever . com"
+    assert pii.find(field, [f"mail {long} now"])[0][1] == [(5, 0, 5 + len(long))]
+    rng, pieces = np.random.RandomState(5), [*(t for t, _ in pii.examples(60, seed=7)), "555-123-4567, ", "@ ", " . com", "( 1 ", "x " * 40, "Aa bb. " * 30, "\n", "7" * 30, "é,"]
+    texts = ["".join(pieces[k] for k in rng.randint(0, len(pieces), rng.randint(0, 60))) for _ in range(60)] + [dense, long, "", "5", "@"]
+    for text, got in zip(texts, pii.field_spans(field, texts), strict=True):
+        assert [s for s in got if re.search("[0-9@]", text[s[0] : s[2]])] == whole(text)
+
+
 def test_mixing(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 40)), ["a", "b", "c", None][0 if i % 3 == 0 else i % 4], 0) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, x long").repartition(7)
