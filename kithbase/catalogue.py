@@ -174,6 +174,12 @@ def field_subset(spark, sf_dir):
     return details.field_subset(own, ["priority"], ["detailId", "contactId"])
 
 
+@query("field_subset_all", "SELECT detailId, contactId, priority, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS DOUBLE) AS price FROM ords", "ords")
+def field_subset_all(spark, sf_dir):
+    own = orders(spark, sf_dir).select("detailId", "contactId", "priority", "status", "price")
+    return details.field_subset(own, ["priority"], ["detailId", "contactId"])
+
+
 @query("provenance", "SELECT o.detailId AS detailId, CASE WHEN p.collectionId = 1 THEN o.note ELSE p.collectionId || ':' || o.contactId || ':' || o.detailId END AS provenance, CASE WHEN p.collectionId = 1 THEN 3 ELSE 0 END AS accessConstraints, CASE WHEN p.collectionId > 2 THEN o.isOpen END AS modifiable FROM ords o JOIN people p USING (contactId)", "ords", "people")
 def provenance(spark, sf_dir):
     own = orders(spark, sf_dir).join(people(spark, sf_dir).select("contactId", "collectionId"), "contactId")

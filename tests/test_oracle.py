@@ -45,6 +45,16 @@ def test_query(spark, con, sf_dir, name):
     assert rows(df.columns, got) == rows(columns, cursor.fetchall())
 
 
+WHOLE = {
+    "field_subset_all": "SELECT count(*) FROM orders",
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_table(spark, con, sf_dir, name):
+    assert QUERIES[name](spark, sf_dir).count() == con.execute(WHOLE[name]).fetchone()[0]
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
