@@ -160,8 +160,20 @@ def detail_mask(spark, sf_dir):
     "people", "names", "ords", "edges",
 )
 def assemble_contact(spark, sf_dir):
+    return _assembled(spark, sf_dir, select(Range("Person", "collectionId", most=5), binding(spark, sf_dir)).select("contactId"))
+
+
+@query(
+    "assemble_contact_all",
+    "SELECT p.contactId AS contactId, n.name AS name, o.priorities AS priorities, l.links AS links FROM people p LEFT JOIN (SELECT contactId, string_agg(firstName || '/' || lastName, ',' ORDER BY detailId) AS name FROM names GROUP BY contactId) n USING (contactId) LEFT JOIN (SELECT contactId, string_agg(priority, ',' ORDER BY detailId) AS priorities FROM ords GROUP BY contactId) o USING (contactId) LEFT JOIN (SELECT id AS contactId, string_agg(x, ',' ORDER BY x) AS links FROM (SELECT firstId AS id, type || '>' || secondId AS x FROM edges UNION SELECT secondId, type || '<' || firstId FROM edges) GROUP BY id) l USING (contactId)",
+    "people", "names", "ords", "edges",
+)
+def assemble_contact_all(spark, sf_dir):
+    return _assembled(spark, sf_dir, people(spark, sf_dir).select("contactId"))
+
+
+def _assembled(spark, sf_dir, some: DataFrame) -> DataFrame:
     kinds = {"Name": (names(spark, sf_dir), "contactId", "detailId", ["firstName", "lastName"]), "Order": (orders(spark, sf_dir), "contactId", "detailId", ["priority"])}
-    some = select(Range("Person", "collectionId", most=5), binding(spark, sf_dir)).select("contactId")
     out = details.assemble(some, kinds, "contactId", edges=edges(spark, sf_dir))
     links = F.array_join(F.array_sort(F.transform("relationships", lambda r: F.concat(r["type"], F.when(r["role"] == "second", ">").otherwise("<"), r["other"].cast("string")))), ",")
     joined = lambda c, f: F.nullif(F.array_join(F.transform(c, f), ","), F.lit(""))
