@@ -372,6 +372,14 @@ def best_presence(spark, sf_dir):
     return merging.best_presence(own, "contactId", "state", ["ts", "event_id"], ["event_id"])
 
 
+@query("best_presence_all", f"SELECT contactId, CAST(arg_min(state, (rank, ts, event_id)) AS INT) AS state, arg_min(event_id, (rank, ts, event_id)) AS event_id FROM (SELECT user_id AS contactId, ts, event_id, {'CASE event_type WHEN ' + chr(39) + 'view' + chr(39) + ' THEN 1 WHEN ' + chr(39) + 'click' + chr(39) + ' THEN 4 WHEN ' + chr(39) + 'purchase' + chr(39) + ' THEN 3 WHEN ' + chr(39) + 'signup' + chr(39) + ' THEN 2 WHEN ' + chr(39) + 'error' + chr(39) + ' THEN 6 ELSE 0 END'} AS state, {_AVAILABLE.format('state')} AS rank FROM events) GROUP BY contactId")
+def best_presence_all(spark, sf_dir):
+    from .plans.bindings import STATES
+
+    own = table(spark, sf_dir, "events").selectExpr("user_id AS contactId", "ts", "event_id", f"{STATES} AS state")
+    return merging.best_presence(own, "contactId", "state", ["ts", "event_id"], ["event_id"])
+
+
 @query(
     "merge_names",
     "SELECT p.collectionId AS aggregateId, (SELECT arg_min(firstName, (n.contactId % 4 <> 0, n.contactId)) FROM names n JOIN people q USING (contactId) WHERE q.collectionId = p.collectionId AND coalesce(firstName, '') <> '') AS firstName, (SELECT arg_min(customLabel, (n.contactId % 4 <> 0, n.contactId)) FROM names n JOIN people q USING (contactId) WHERE q.collectionId = p.collectionId AND coalesce(customLabel, '') <> '') AS customLabel, max(modified) AS modified, bool_or(isOnline) AS isOnline FROM people p GROUP BY p.collectionId",

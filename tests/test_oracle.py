@@ -48,6 +48,7 @@ def test_query(spark, con, sf_dir, name):
 WHOLE = {
     "field_subset_all": "SELECT count(*) FROM orders",
     "assemble_contact_all": "SELECT count(*) FROM customer",
+    "best_presence_all": "SELECT count(DISTINCT user_id) FROM events",
 }
 
 
