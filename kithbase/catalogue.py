@@ -268,6 +268,7 @@ ORACLE["sort_existence"] = with_tables("SELECT contactId, row_number() OVER (ORD
 sorted_query("top_k", [Sort("Person", "balance", descending=True)], "(p.balance IS NULL), p.balance DESC", most=25)
 sorted_query("top_k_parts", [Sort("Part", "label"), Sort("Part", "size", descending=True)], "(coalesce(p.label, '') = ''), p.label, p.size IS NULL, p.size DESC", most=50, parted=True)
 sorted_query("sort_dropped", [Sort("Order", "price"), Sort("Person", "label")], "(coalesce(p.label, '') = ''), p.label", most=30)
+sorted_query("sort_dropped_all", [Sort("Order", "price"), Sort("Person", "label")], "(coalesce(p.label, '') = ''), p.label", most=None)
 _AVAILABLE = "CASE {0} WHEN 1 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 3 WHEN 3 THEN 4 WHEN 2 THEN 5 WHEN 6 THEN 6 ELSE 7 END"
 sorted_query("sort_presence", [Sort("GlobalPresence", "presenceState")], _AVAILABLE.format("s.presenceState"), most=None)
 ORACLE["sort_presence"] = with_tables(f"SELECT s.contactId AS contactId, row_number() OVER (ORDER BY {_AVAILABLE.format('s.presenceState')}, s.contactId) AS rank FROM presence s", "presence")

@@ -49,6 +49,7 @@ WHOLE = {
     "field_subset_all": "SELECT count(*) FROM orders",
     "assemble_contact_all": "SELECT count(*) FROM customer",
     "best_presence_all": "SELECT count(DISTINCT user_id) FROM events",
+    "sort_dropped_all": "SELECT count(*) FROM customer",
 }
 
 
