@@ -45,8 +45,9 @@ def delete_verdict(ids: DataFrame, contacts: DataFrame, key: str = "contactId",
     known = contacts.select(key, "collectionId", F.lit(True).alias("there"))
     out = ids.select(key).distinct().join(known, key, "left")
     verdict = F.when(F.col("there").isNull(), "missing").when(F.col(key).isin(*self_ids), "self").when(F.col("collectionId") == aggregate_collection, "aggregate").otherwise("ok")
-    several = out.filter(F.col("there")).agg((F.count_distinct("collectionId") > 1).alias("several"))
-    return out.withColumn("verdict", verdict).join(F.broadcast(several)).select(key, F.when((F.col("verdict") == "ok") & F.col("several"), "several collections").otherwise(F.col("verdict")).alias("verdict"))
+    # One row, joined to the ids that exist.
+    several = out.filter("there").groupBy("there").agg((F.min("collectionId") != F.max("collectionId")).alias("several"))
+    return out.withColumn("verdict", verdict).join(F.broadcast(several), "there", "left").select(key, F.when((F.col("verdict") == "ok") & F.col("several"), "several collections").otherwise(F.col("verdict")).alias("verdict"))
 
 
 def undelete(df: DataFrame, touched: Column) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.details import latest_state
 from .binding import Binding, Details, Field
 
-FIRST_NAMES = "Aaron,Bob,Boris,Dennis,john,John,xander,Xander,,Yarrow"
-LAST_NAMES = "Aaronson,Aaronsen,Aaronsun,FitzMacintyre,Smithee,Smithey,Smithy,,Gumboots"
+FIRST_NAMES = "Mira,Tobe,Tomas,Ilse,jorn,Jorn,quill,Quill,,Wanda"
+LAST_NAMES = "Ostrava,Ostrander,Ostrum,Lindqvist,Keeley,Keeler,Keels,,Brightwater"
 #: Columns of records over the table customer. Each expression means the same in Spark and in DuckDB.
 PEOPLE = {
     "contactId": "c_custkey",
@@ -46,7 +46,7 @@ ORDERS = {
     "kind": "CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END",
     "isOpen": "o_orderstatus = 'O'",
     "days": "CAST(o_orderkey % 50 AS INT)",
-    "note": "CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 9 = 1 THEN NULL ELSE o_orderpriority END",
+    "note": "CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 9 = 1 THEN NULL WHEN o_orderkey % 9 = 2 THEN '[' || o_orderpriority || ']*' ELSE o_orderpriority END",
     "phone": "'+1 (' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || ') 555-' || lpad(CAST(o_custkey % 10000 AS STRING), 4, '0')",
     "changeFlags": "CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 4 END",
     "unhandledChangeFlags": "CASE WHEN o_orderkey % 3 = 0 THEN 2 WHEN o_orderkey % 5 = 0 THEN 4 ELSE 0 END",
@@ -111,7 +111,7 @@ def binding(spark: SparkSession, sf_dir: str, with_overlay: bool = False, aggreg
     return Binding(
         own,
         details={
-            "Person": Details(own, "contactId", f(label="string", segment="string", balance="real", collectionId="int", isOnline="bool"), singular=True, primary=True),
+            "Person": Details(own, "contactId", f(label="string", segment="string", balance="real", collectionId="int", isOnline="bool", created="date", modified="date"), singular=True, primary=True),
             "Name": Details(name, "contactId", f(firstName="string", lastName="string", customLabel="string", gender="enum"), singular=True),
             "Order": Details(order, "contactId", {**f(status="string", priority="string", price="real", placed="date", kind="enum", isOpen="bool", days="int", note="string"), "phone": Field("phone", "phone"), "tags": Field("tags", "string")}),
             "GlobalPresence": Details(presence, "contactId", f(presenceState="int"), singular=True),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.enums import ADDED, DELETED, MODIFIED, STATUS_BITS
-from ..functions.phone import minimise, normalise_text
+from ..functions.phone import minimise, minimised
 from ..functions.text import glob, has_glob, strip_phone
 from .binding import Binding, Details, Field
 from .filters import And, Changed, Collections, Detail, Everything, Filter, Flags, Ids, Nothing, Or, Range, Related, UnsupportedFilter, leaves, mentions
@@ -63,7 +63,7 @@ def detail_condition(f: Detail, own: Field) -> Column:
     if own.kind == "phone" and f.phone:
         value = str(f.value)
         if f.match == "exact":
-            short = normalise_text(value, dial_string=True, most=8)
+            short = minimised(value)
             if not short:
                 raise UnsupportedFilter(f"no number in {value!r}")
             return (F.col(own.normalised) if own.normalised else minimise(c)) == short

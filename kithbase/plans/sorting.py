@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.enums import availability
 from ..functions.text import blank
+from ..sources.shared import stash
 from .binding import Binding
 
 
@@ -57,12 +58,13 @@ def compile_sort(b: Binding, df: DataFrame, keys: list[Sort]) -> tuple[DataFrame
                 df, joined[key.type] = df.join(one, b.key, "left"), names
                 extra += names.values()
             c = F.col(joined[key.type][field.column])
+        if b.overlay is not None and key.field in b.overlay.columns and (own.primary or key.field == "presenceState"):
+            # The overlay's value, where it has one, over the durable one.
+            over = f"sort_overlay_{n}"
+            df = df.join(b.overlay.select(b.key, F.col(key.field).alias(over)), b.key, "left")
+            extra.append(over)
+            c = F.coalesce(F.col(over), c)
         if key.field == "presenceState":
-            if b.overlay is not None and "presenceState" in b.overlay.columns:
-                over = f"sort_overlay_{n}"
-                df = df.join(b.overlay.select(b.key, F.col("presenceState").alias(over)), b.key, "left")
-                extra.append(over)
-                c = F.coalesce(F.col(over), c)
             rank = availability(c)
             order.append(rank.desc() if key.descending else rank.asc())
             continue
@@ -94,11 +96,21 @@ def ranked(b: Binding, df: DataFrame, keys: list[Sort], name: str = "rank") -> D
     count each.
     """
     wide, order, extra = compile_sort(b, df, keys)
-    placed = wide.orderBy(*order).drop(*extra).withColumn("seq", F.monotonically_increasing_id())
-    part = F.shiftright("seq", 33)
-    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
-    before, total = {}, 0
-    for r in sorted(counts, key=lambda r: r.part):
-        before[r.part], total = total, total + r.n
-    starts = df.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "part long, start long")
-    return placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn(name, F.col("start") + F.col("seq").bitwiseAND((1 << 33) - 1) + 1).drop("part", "start", "seq")
+    return numbered(wide.orderBy(*order).drop(*extra), name)
+
+
+def numbered(in_order: DataFrame, name: str, start: int = 1) -> DataFrame:
+    """Rows of a sorted frame with consecutive numbers from start.
+
+    The sorted rows are written once, with their partition and their place in
+    it: counts and rows must come from one and the same run, since a second
+    one may draw the ranges elsewhere.
+    """
+    both = (1 << 33) - 1  # the bits of monotonically_increasing_id() for the place in a partition
+    placed = stash(in_order.withColumn("_seq", F.monotonically_increasing_id()), "sorted").withColumn("_part", F.shiftright("_seq", 33))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a partition
+    before, total = {}, start
+    for r in sorted(counts, key=lambda r: r._part):
+        before[r._part], total = total, total + r.n
+    starts = in_order.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "_part long, _start long")
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_seq").bitwiseAND(both)).drop("_part", "_start", "_seq")

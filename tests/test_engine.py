@@ -14,7 +14,7 @@ def store(spark):
     d = lambda rows, schema: spark.createDataFrame(rows, schema)
     records = d([(i, 2) for i in range(10, 14)], "contactId long, collectionId long")
     return s.save(records, {
-        "Name": d([(10, "Aaron", "Zed"), (11, "Bob", "Aaronsen"), (12, None, "Carl")], "contactId long, firstName string, lastName string"),
+        "Name": d([(10, "Anders", "Zoll"), (11, "Bibi", "Arpad"), (12, None, "Carl")], "contactId long, firstName string, lastName string"),
         "PhoneNumber": d([(10, "+1 (212) 555-0100"), (11, "5551212"), (11, "5551213")], "contactId long, phoneNumber string"),
         "EmailAddress": d([(13, "X@Y.org"), (12, "c@c.org")], "contactId long, emailAddress string"),
         "Presence": d([(10, 4), (10, 1), (11, 6)], "contactId long, presenceState int"),
@@ -29,13 +29,13 @@ def test_queries(store):
     assert ids(store.contact_ids(Detail("PhoneNumber", "phoneNumber", "212 555 0100", phone=True))) == []  # only aggregates are shown
     plain = Store(store.db, aggregating=False)
     assert ids(plain.contact_ids(Detail("PhoneNumber", "phoneNumber", "(212) 555-0100", phone=True))) == [10]
-    assert ids(plain.contact_ids(Detail("Name", "firstName", "AARON", fixed_string=True))) == [10]
+    assert ids(plain.contact_ids(Detail("Name", "firstName", "ANDERS", fixed_string=True))) == [10]
     assert ids(plain.contact_ids(Everything(), [Sort("Name", "lastName")])) == [11, 12, 10, 13]
     assert ids(plain.contact_ids(Everything(), [Sort("DisplayLabel", "displayLabelGroup")])) == [10, 11, 12, 13]
     assert ids(plain.contact_ids(Flags(0b1001))) == [10]
     rows = {r.contactId: r for r in plain.contacts(hint=Hint(types=("PhoneNumber", "DisplayLabel", "GlobalPresence"))).collect()}
     assert [p.phoneNumber for p in rows[11].PhoneNumber] == ["5551212", "5551213"] and rows[13].PhoneNumber is None
-    assert {i: r.DisplayLabel[0].displayLabel for i, r in rows.items()} == {10: "Aaron Zed", 11: "Bob Aaronsen", 12: "Carl", 13: "X@Y.org"}
+    assert {i: r.DisplayLabel[0].displayLabel for i, r in rows.items()} == {10: "Anders Zoll", 11: "Bibi Arpad", 12: "Carl", 13: "X@Y.org"}
     assert rows[10].GlobalPresence[0].presenceState == 1 and rows[10].isOnline and not rows[11].isOnline and rows[10].statusFlags == 0b101001
     assert [(r.contactId, r.exists) for r in plain.contacts_by_id([12, 99, 10], Hint(types=())).orderBy("pos").collect()] == [(12, True), (99, False), (10, True)]
     assert ids(plain.contacts(Everything(), [Sort("Name", "lastName")], Hint(types=("Name",), most=2))) == [11, 12]
@@ -82,7 +82,7 @@ def test_aggregation(store, spark):
     s = store.aggregate_orphans()
     links = s.db["relationships"].filter("secondId > 2").collect()
     assert len(links) == 4 and len({r.firstId for r in links}) == 4
-    assert ids(s.contact_ids(And((Detail("Name", "lastName", "Zed"),)))) == [r.firstId for r in links if r.secondId == 10]
-    twin = s.save(spark.createDataFrame([(30, 2)], "contactId long, collectionId long"), {"Name": spark.createDataFrame([(30, "aaron", "ZED")], "contactId long, firstName string, lastName string")}).aggregate_orphans()
+    assert ids(s.contact_ids(And((Detail("Name", "lastName", "Zoll"),)))) == [r.firstId for r in links if r.secondId == 10]
+    twin = s.save(spark.createDataFrame([(30, 2)], "contactId long, collectionId long"), {"Name": spark.createDataFrame([(30, "anders", "ZOLL")], "contactId long, firstName string, lastName string")}).aggregate_orphans()
     assert {r.firstId for r in twin.db["relationships"].filter("secondId IN (10, 30)").collect()} == {r.firstId for r in links if r.secondId == 10}
     assert twin.remove_relationships(twin.db["relationships"].filter("secondId = 11")).drop_childless().db["contacts"].filter(F.col("collectionId") == 1).count() == 4

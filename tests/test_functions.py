@@ -14,24 +14,34 @@ NUMBERS = [
 ]
 
 
-@pytest.mark.parametrize("number, everything, punctuation, dial, valid", NUMBERS)
-def test_phone_forms(number, everything, punctuation, dial, valid):
-    f = phone.normalise_text
-    assert (f(number, True, True), f(number, True), f(number, False, True)) == (everything, punctuation, dial)
-    assert bool(f(number, False, True, True)) == valid or everything == ""
-    for n in (7, 8, 9):
-        assert f(number, False, True).endswith(f(number, False, True, most=n))
+def forms(spark, numbers, **named):
+    """For each number its normal forms by name."""
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "i int, n string")
+    return df.select("n", *[phone.formed(F.col("n"), f).alias(k) for k, f in named.items()]).orderBy("i").collect()
+
+
+def test_phone_forms(spark):
+    kinds = {"everything": phone.Form(True, True), "punctuation": phone.Form(True), "dial": phone.Form(dial_string=True), "valid": phone.Form(dial_string=True, validate=True), **{f"last{n}": phone.Form(dial_string=True, most=n) for n in (7, 8, 9)}}
+    for r, (number, everything, punctuation, dial, valid) in zip(forms(spark, [n[0] for n in NUMBERS], **kinds), NUMBERS, strict=True):
+        assert (r.everything, r.punctuation, r.dial) == (everything, punctuation, dial), number
+        assert bool(r.valid) == valid or everything == "", number
+        assert all(r.dial.endswith(r[f"last{n}"]) for n in (7, 8, 9))
 
 
 def test_phone_columns(spark):
-    extra = ["sips:+1234@host.org", ":555@x", "+49 30 1234-567", "++1", "p1w2", None, "", "1" * 12 + "x9", "**+5", "+1+2p+3"]
-    df = spark.createDataFrame([(n[0],) for n in NUMBERS] + [(x,) for x in extra], "n string")
-    for r in df.select("n", phone.normalise(F.col("n")).alias("dial"), phone.normalise(F.col("n"), False).alias("plain"), phone.minimise(F.col("n")).alias("short"), phone.normalise_udf(dial_string=True)("n").alias("udf")).collect():
-        if r.n is None:
-            assert r.dial is None and r.udf is None
-            continue
-        assert r.dial == phone.normalise_text(r.n, dial_string=True) == r.udf
-        assert r.plain == phone.normalise_text(r.n) and r.short == phone.normalise_text(r.n, dial_string=True, most=8)
+    # number, dial string, without tones, minimised, valid with tones, valid without
+    cases = [
+        ("sips:+1234@host.org", "+1234", "+1234", "+1234", True, True), (":555@x", "555", "555", "555", True, True), ("+49 30 1234-567", "+49301234567", "+49301234567", "01234567", True, True), ("++1", "+1", "+1", "+1", False, False),
+        ("p1w2", "1w2", "1", "1w2", False, False), (None, None, None, None, None, None), ("", "", "", "", False, False), ("1" * 12 + "x9", "1" * 12 + "p9", "1" * 12, "1" * 8 + "p9", True, True), ("**+5", "**+5", "", "**+5", True, False),
+        ("+1+2p+3", "+12p+3", "+12", "+12p+3", False, False), ("+12345678", "+12345678", "+12345678", "12345678", True, True), ("+1234567", "+1234567", "+1234567", "+1234567", True, True), ("*p1", "*1", "", "*1", False, False),
+        ("+5*31#6", "+5*31#6", "+5", "+5*31#6", False, True), ("৫৫৫১২১২", "5551212", "5551212", "5551212", True, True), ("𝟓٥５", "555", "555", "555", True, True), ("12 a;3", "12w3", "12", "12w3", False, False),
+    ]
+    kinds = {"dial": phone.Form(dial_string=True), "plain": phone.Form(), "short": phone.Form(dial_string=True, most=8), "valid": phone.Form(dial_string=True, validate=True), "valid_plain": phone.Form(validate=True)}
+    for r, case in zip(forms(spark, [c[0] for c in cases], **kinds), cases, strict=True):
+        assert tuple(r)[:4] == case[:4]
+        assert r.valid == (None if r.n is None else r.dial if case[4] else ""), case
+        assert r.valid_plain in ((None if r.n is None else r.plain if case[5] else ""), "" if case[1] == "" else None), case
+        assert r.n is None or phone.minimised(r.n) == r.short
 
 
 def one(spark, *columns):
@@ -43,7 +53,7 @@ def test_labels(spark):
     cases = [(("C", "a", "b", "n"), "C"), (("", "a", "b", "n"), "a b"), ((None, "", "b", "n"), "b"), ((None, "a", None, "n"), "a"), ((None, None, "", "n"), "n"), ((None, None, None, ""), None)]
     for values, want in cases:
         assert one(spark, labels.display_label(*(n if v is None else F.lit(v) for v in values)))[0] == want
-    groups = {"aaron": "A", "Zed": "Z", "7up": "#", "٣x": "#", "Éa": "?", "": "?", "-": "?"}
+    groups = {"anders": "A", "Zoll": "Z", "7up": "#", "٣x": "#", "Éa": "?", "": "?", "-": "?"}
     assert list(one(spark, *(labels.default_group(F.lit(k)) for k in groups))) == list(groups.values())
     assert one(spark, labels.group_source(F.lit(""), F.lit("L"), F.lit("D")), labels.group_source(F.lit(""), F.lit(""), F.lit("D"), "last"), labels.group_source(F.lit("f"), F.lit("l"), F.lit("D"), "label")) == ("L", "D", "D")
     assert list(one(spark, *(labels.group_sort_value(F.lit(g)) for g in ("A", "Z", "#", "?", "", "\x05", "Ж")))) == [0, 25, labels.NUMBER_VALUE, labels.OTHER_VALUE, -1, 27, 1046]
