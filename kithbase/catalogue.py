@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import enums, labels, phone, text
 from .operators import changes, delta, details, matching, merging, oob, relationships, sync
-from .plans.bindings import binding, edges, names, orders, overlay, part_binding, parts, people, shaped, table, with_tables
+from .plans.bindings import binding, edges, names, orders, overlay, part_binding, parts, people, shaped, stored, table, with_tables
 from .plans.compile import select, select_removed
 from .plans.filters import And, Changed, Collections, Detail, Everything, Flags, Ids, Or, Range, Related
 from .plans.sorting import Sort, ordered, ranked
@@ -413,13 +414,16 @@ def _match_sides(spark, sf_dir):
     return person("supplier", "s_suppkey", 40), person("customer", "c_custkey", 40), points
 
 
-def _match_sql(select_: str) -> str:
+def _match_sql(select_: str, within: bool = False) -> str:
     person = "SELECT {k} AS id, lower(split_part('Mira,Tobe,Tomas,Ilse,jorn,,quill,Zoe,,Wanda', ',', CAST({k} % 10 + 1 AS INT))) AS f, lower(CASE WHEN {k} % 4 = 0 THEN '' ELSE 'Name' || CAST({k} % 40 AS VARCHAR) END) AS l, CAST({k} % 3 AS INT) AS g, CASE WHEN {k} % 4 = 0 THEN 'nick' || CAST({k} % 30 AS VARCHAR) END AS nick, 'm' || CAST({k} % 60 AS VARCHAR) || '@x.org' AS email, CAST(5550000 + {k} % 70 AS VARCHAR) AS phone, CASE WHEN {k} % 2 = 0 THEN 'a' || CAST({k} % 50 AS VARCHAR) END AS account FROM {t}"
     pairs = [
         ("p.f = t.f AND p.f <> '' AND p.l = t.l AND p.l <> ''", 20), ("p.f = t.f AND p.f <> '' AND (p.l = '' OR t.l = '')", 12), ("p.l = t.l AND p.l <> '' AND (p.f = '' OR t.f = '')", 12),
         ("p.nick = t.nick AND p.f = '' AND p.l = '' AND t.f = '' AND t.l = ''", 15), ("p.nick = t.nick", 1), ("p.email = t.email", 3), ("p.phone = t.phone", 3), ("p.account = t.account", 3),
     ]
     union = " UNION ".join(f"SELECT p.id AS probe_id, t.id AS target_id, {s} AS score FROM p JOIN t ON {c}" for c, s in pairs)
+    if within:
+        every = " UNION ".join(f"SELECT p.id AS probe_id, t.kind, t.id AS target_id, {s} AS score FROM p JOIN c t ON {c}" for c, s in pairs)
+        return f"WITH RECURSIVE p AS ({person.format(k='s_suppkey', t='supplier')}), t AS ({person.format(k='c_custkey', t='customer')}) " + select_.replace("{UNION}", every)
     allowed = "(p.l = t.l OR p.l = '' OR t.l = '') AND ((p.f = '' AND p.l = '') = (t.f = '' AND t.l = '')) AND p.g + t.g <> 3"
     return f"WITH p AS ({person.format(k='s_suppkey', t='supplier')}), t AS ({person.format(k='c_custkey', t='customer')}), s AS (SELECT probe_id, target_id, CAST(sum(score) AS BIGINT) AS score FROM ({union}) GROUP BY probe_id, target_id), a AS (SELECT s.* FROM s JOIN p ON p.id = probe_id JOIN t ON t.id = target_id WHERE {allowed}) {select_}"
 
@@ -431,13 +435,21 @@ def match_score(spark, sf_dir):
 
 @query("match_top1", _match_sql("SELECT probe_id, arg_min(target_id, (-score, target_id)) AS target_id, max(score) AS score FROM a WHERE score >= 15 GROUP BY probe_id"))
 def match_top1(spark, sf_dir):
-    return matching.best(matching.scores(*_match_sides(spark, sf_dir)))
-
-
-@query("match_attach", _match_sql(", m AS (SELECT probe_id, arg_min(target_id, (-score, target_id)) AS target_id FROM a WHERE score >= 15 GROUP BY probe_id) SELECT m.target_id AS firstId, m.probe_id AS secondId, 'Aggregates' AS type FROM m UNION ALL SELECT 1000000 + row_number() OVER (ORDER BY s_suppkey) - 1, s_suppkey, 'Aggregates' FROM supplier WHERE s_suppkey NOT IN (SELECT probe_id FROM m)"))
+    return matching.best_matches(*_match_sides(spark, sf_dir)).drop("among")
+
+
+# Targets of a probe are the customers and the probes before it; chains end at a customer or at a probe that founds.
+@query("match_attach", _match_sql(""", c AS (SELECT 0 AS kind, * FROM t UNION ALL SELECT 1, * FROM p),
+    s2 AS (SELECT probe_id, kind, target_id, sum(score) AS score FROM ({UNION}) GROUP BY ALL),
+    m AS (SELECT probe_id, arg_min(struct_pack(kind := s2.kind, id := target_id), (-score, s2.kind, target_id)) AS x FROM s2 JOIN p ON p.id = probe_id JOIN c t ON t.id = target_id AND t.kind = s2.kind
+        WHERE score >= 15 AND (s2.kind = 0 OR target_id < probe_id) AND (p.l = t.l OR p.l = '' OR t.l = '') AND ((p.f = '' AND p.l = '') = (t.f = '' AND t.l = '')) AND p.g + t.g <> 3 GROUP BY probe_id),
+    own AS (SELECT p.id AS probe_id, coalesce(x.kind, 1) AS kind, coalesce(x.id, p.id) AS id FROM p LEFT JOIN m ON m.probe_id = p.id),
+    chain AS (SELECT * FROM own UNION SELECT c2.probe_id, o.kind, o.id FROM chain c2 JOIN own o ON c2.kind = 1 AND o.probe_id = c2.id),
+    ends AS (SELECT probe_id, arg_min(struct_pack(kind := kind, id := id), (kind, id)) AS x FROM chain GROUP BY probe_id)
+    SELECT CASE WHEN x.kind = 0 THEN x.id ELSE 1000000 - 1 + dense_rank() OVER (PARTITION BY x.kind ORDER BY x.id) END AS firstId, probe_id AS secondId, 'Aggregates' AS type FROM ends""", within=True))
 def match_attach(spark, sf_dir):
     probes, targets, points = _match_sides(spark, sf_dir)
-    return matching.attach(probes, matching.best(matching.scores(probes, targets, points)), 1_000_000)[0]
+    return matching.attach(probes, matching.best_matches(probes, targets, points, within=True), 1_000_000)[0]
 
 
 # --- changes and sync --------------------------------------------------------------------------------------------
@@ -632,3 +644,96 @@ def oob_scope(spark, sf_dir):
     stored = oob.put(empty, "s", new.select(F.col("k").alias("key"), "value", F.lit(True).alias("is_text")))
     scoped = oob.remove(oob.remove(stored, "s:ab"), "s:a", ["4"])
     return oob.get(scoped, "s:a").select("key", F.decode("value", "UTF-8").alias("value"))
+
+
+# --- the store over the fixed schema -----------------------------------------------------------------------------
+
+
+def _store(spark, sf_dir, aggregating: bool = True):
+    from .engine import Store
+
+    return Store(stored(spark, sf_dir), aggregating)
+
+
+@query(
+    "store_fetch",
+    """SELECT c.contactId AS contactId, c.collectionId AS collectionId, n.firstName AS firstName, p.phoneNumber AS phone, p.provenance AS provenance, p.context AS context, p.uri AS uri, p.modifiable AS modifiable, CAST(coalesce(v.presenceState, -1) AS INT) AS presence
+    FROM stored_contacts c JOIN live_EmailAddress e USING (contactId) LEFT JOIN live_Name n USING (contactId)
+    LEFT JOIN (SELECT q.contactId, phoneNumber, d.collectionId || ':' || q.contactId || ':' || detailId AS provenance, CASE WHEN detailId % 2 = 0 THEN 'Home' END AS context, CASE WHEN detailId % 5 = 0 THEN 'u' || detailId END AS uri, CASE WHEN d.collectionId > 2 THEN detailId % 4 = 0 END AS modifiable FROM live_PhoneNumber q JOIN stored_contacts d USING (contactId)) p USING (contactId)
+    LEFT JOIN overlay v ON v.contactId + 10 = c.contactId
+    WHERE c.changeFlags < 4 AND NOT c.isDeactivated AND starts_with(e.lowerEmailAddress, 'm1')""",
+    "stored_contacts", "live_EmailAddress", "live_Name", "live_PhoneNumber", "overlay",
+)
+def store_fetch(spark, sf_dir):
+    from .engine import Hint
+
+    over = overlay(spark, sf_dir).withColumn("contactId", F.col("contactId") + 10)
+    store = replace(_store(spark, sf_dir, False), overlay_details={"GlobalPresence": over.select("contactId", F.col("presenceState").cast("int").alias("presenceState"))})
+    out = store.contacts(Detail("EmailAddress", "emailAddress", "M1", "starts", fixed_string=True), hint=Hint(types=("Name", "PhoneNumber", "GlobalPresence"), relationships=False))
+    number = F.get("PhoneNumber", 0)
+    return out.select(
+        "contactId", "collectionId", F.get("Name", 0)["firstName"].alias("firstName"), number["phoneNumber"].alias("phone"), number["provenance"].alias("provenance"), F.get(number["contexts"], 0).alias("context"), number["detailUri"].alias("uri"), number["modifiable"].alias("modifiable"),
+        F.coalesce(F.get("GlobalPresence", 0)["presenceState"], F.lit(-1)).alias("presence"),
+    )
+
+
+# Each active record finds the best earlier one; chains end at the record that founds. Ids of aggregates go on from the largest id, in the order of founders.
+_AGGREGATED = f"""
+    p AS (SELECT c.contactId AS id, coalesce(lower(n.firstName), '') AS f, coalesce(lower(n.lastName), '') AS l, coalesce(g.gender, 0) AS g, lower(k.nickname) AS nick, e.lowerEmailAddress AS email, h.normalizedNumber AS phone, c.collectionId <> 2 AS far
+        FROM stored_contacts c LEFT JOIN live_Name n USING (contactId) LEFT JOIN live_Gender g USING (contactId) LEFT JOIN live_Nickname k USING (contactId) LEFT JOIN live_EmailAddress e USING (contactId) LEFT JOIN live_PhoneNumber h USING (contactId) WHERE c.changeFlags < 4 AND NOT c.isDeactivated),
+    s AS (SELECT probe_id, target_id, sum(score) AS score FROM ({" UNION ".join(f"SELECT p.id AS probe_id, t.id AS target_id, {s} AS score FROM p JOIN p t ON t.id < p.id AND {c}" for c, s in (
+        ("p.f = t.f AND p.f <> '' AND p.l = t.l AND p.l <> ''", 20), ("p.f = t.f AND p.f <> '' AND (p.l = '' OR t.l = '')", 12), ("p.l = t.l AND p.l <> '' AND (p.f = '' OR t.f = '')", 12),
+        ("p.nick = t.nick AND p.f = '' AND p.l = '' AND t.f = '' AND t.l = ''", 15), ("p.nick = t.nick", 1), ("p.email = t.email", 3), ("p.phone = t.phone", 3)))}) GROUP BY ALL),
+    m AS (SELECT probe_id, arg_min(target_id, (-score, target_id)) AS parent FROM s JOIN p ON p.id = probe_id JOIN p t ON t.id = target_id
+        WHERE score >= 15 AND (p.l = t.l OR p.l = '' OR t.l = '') AND ((p.f = '' AND p.l = '') = (t.f = '' AND t.l = '')) AND p.g + t.g <> 3 GROUP BY probe_id),
+    chain AS (SELECT id, id AS top FROM p UNION SELECT chain.id, m.parent FROM chain JOIN m ON m.probe_id = chain.top),
+    tops AS (SELECT id, min(top) AS top FROM chain GROUP BY id),
+    linked AS (SELECT (SELECT max(contactId) FROM stored_contacts) + dense_rank() OVER (ORDER BY top) AS aggregateId, id AS contactId FROM tops)"""
+_STORED = ("stored_contacts", "live_Name", "live_Gender", "live_Nickname", "live_EmailAddress", "live_PhoneNumber")
+
+
+def _recursive(select_: str) -> str:
+    return with_tables("", *_STORED).rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + "," + _AGGREGATED + " " + select_
+
+
+@query("store_aggregate", _recursive("SELECT aggregateId AS firstId, contactId AS secondId FROM linked"))
+def store_aggregate(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    return store._attached(store._aggregable()).db["relationships"].filter("type = 'Aggregates' AND secondId > 2").select("firstId", "secondId")
+
+
+@query("store_regenerate", _recursive("""
+    SELECT aggregateId, 'phone' AS kind, h.phoneNumber AS value, arg_min(c.collectionId || ':' || h.contactId || ':' || h.detailId, (c.collectionId <> 2, h.contactId)) AS source FROM linked JOIN live_PhoneNumber h USING (contactId) JOIN stored_contacts c USING (contactId) GROUP BY ALL
+    UNION ALL SELECT aggregateId, 'email', e.emailAddress, arg_min(c.collectionId || ':' || e.contactId || ':' || e.detailId, (c.collectionId <> 2, e.contactId)) FROM linked JOIN live_EmailAddress e USING (contactId) JOIN stored_contacts c USING (contactId) GROUP BY ALL
+    UNION ALL SELECT aggregateId, 'first', arg_min(n.firstName, (c.collectionId <> 2, n.contactId)) FILTER (n.firstName <> ''), NULL FROM linked JOIN live_Name n USING (contactId) JOIN stored_contacts c USING (contactId) GROUP BY ALL
+    UNION ALL SELECT aggregateId, 'last', arg_min(n.lastName, (c.collectionId <> 2, n.contactId)) FILTER (n.lastName <> ''), NULL FROM linked JOIN live_Name n USING (contactId) JOIN stored_contacts c USING (contactId) GROUP BY ALL
+    UNION ALL SELECT aggregateId, 'gender', CAST(arg_min(g.gender, (c.collectionId <> 2, g.contactId)) AS VARCHAR), NULL FROM linked JOIN live_Gender g USING (contactId) JOIN stored_contacts c USING (contactId) GROUP BY ALL"""))
+def store_regenerate(spark, sf_dir):
+    after = _store(spark, sf_dir).aggregate_orphans()
+    aggregates = after.db["contacts"].filter("collectionId = 1 AND contactId > 2").select("contactId")
+    head = after.db["details"].select("detailId", "provenance")
+    part = lambda t, c, kind: after.db[t].join(aggregates, "contactId", "left_semi").join(head, "detailId").select(F.col("contactId").alias("aggregateId"), F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value"), F.col("provenance").alias("source"))
+    return details.union_all([part("PhoneNumber", "phoneNumber", "phone"), part("EmailAddress", "emailAddress", "email"), part("Name", "firstName", "first"), part("Name", "lastName", "last"), part("Gender", "gender", "gender")])
+
+
+@query(
+    "store_save",
+    """SELECT contactId, phoneNumber, CAST(CASE WHEN contactId % 3 = 0 THEN 4 ELSE 2 END AS INT) AS changeFlags FROM (SELECT contactId, CASE WHEN contactId % 3 = 1 THEN phoneNumber || '9' ELSE phoneNumber END AS phoneNumber FROM live_PhoneNumber WHERE contactId % 3 < 2)
+    UNION ALL SELECT contactId, phoneNumber, CASE WHEN detailId % 9 = 0 THEN 4 ELSE 0 END FROM stored_PhoneNumber WHERE contactId % 3 = 2 OR detailId % 9 = 0
+    UNION ALL SELECT contactId, '00' || contactId, 1 FROM stored_contacts WHERE contactId % 3 = 2""",
+    "live_PhoneNumber", "stored_PhoneNumber", "stored_contacts",
+)
+def store_save(spark, sf_dir):
+    """A third of the records lose their number, a third get another, and a third one more."""
+    store = _store(spark, sf_dir, False)
+    numbers, people_ = store._live("PhoneNumber"), store.db["contacts"].filter("contactId > 2").select("contactId", F.lit(2).cast("long").alias("collectionId"))
+    changed = numbers.filter("contactId % 3 = 1").select("contactId", F.concat("phoneNumber", F.lit("9")).alias("phoneNumber"))
+    more = people_.filter("contactId % 3 = 2").select("contactId", F.concat(F.lit("00"), F.col("contactId").cast("string")).alias("phoneNumber"))
+    after = store.save(people_, {"PhoneNumber": changed.unionByName(more).unionByName(numbers.filter("contactId % 3 = 2").select("contactId", "phoneNumber"))}, mask=("PhoneNumber",))
+    return after.db["PhoneNumber"].join(after.db["details"].filter("detail = 'PhoneNumber'").select("detailId", "changeFlags"), "detailId").select("contactId", "phoneNumber", "changeFlags")
+
+
+@query("identity_lookup", "SELECT * FROM (VALUES (0, 2), (1, 11), (2, -1)) t(identity, contactId)")
+def identity_lookup(spark, sf_dir):
+    store = _store(spark, sf_dir).set_identity(1, 11).set_identity(2, 12).set_identity(2, None)
+    return spark.createDataFrame([(i, store.identity(i) or -1) for i in (0, 1, 2)], "identity int, contactId int")

@@ -1,7 +1,9 @@
 """Entity resolution: which aggregate a new record belongs to.
 
-All probes are matched in one plan: blocking on names, nine scored branches
-as equi-joins, scores added up by pair, and the best pair of each probe.
+scores() lists scored pairs: nine branches as equi-joins, added up by pair,
+with blocking on names. best_matches() finds the best target of each probe by
+the keys that both share, without listing pairs. attach() turns matches into
+edges, and into new aggregates where there is none.
 """
 
 from __future__ import annotations
@@ -10,9 +12,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.text import blank
+from ..plans.sorting import numbered
+from ..sources.shared import discard, stash
 
 # Scores of the branches and the threshold.
 FULL_NAME, NICKNAME_ONLY, FIRST_NAME, LAST_NAME, CONTACT_POINT, SAME_NICKNAME = 20, 15, 12, 12, 3, 1
@@ -39,23 +42,24 @@ def scores(probes: DataFrame, targets: DataFrame, points: dict[str, tuple[DataFr
     points: nickname, email, phone (minimised), account -> two tables of id,
     value. excluded: probe_id, target_id that must not match. Equal scores of
     one pair count once: sharing an email and a phone is worth no more than
-    either.
+    either. The result lists pairs, so a value that n probes and m targets
+    share makes n * m rows; best_matches() finds the best target of each probe
+    without them.
     """
     p, t = _names(probes, "probe"), _names(targets, "target")
     nick = tuple(_points(x, s) for x, s in zip(points["nickname"], ("probe", "target"), strict=True)) if "nickname" in points else None
     nameless = lambda side: (F.col(f"{side}_first") == "") & (F.col(f"{side}_last") == "")
     pair = lambda df, score: df.select("probe_id", "target_id", F.lit(score).alias("score"))
-    first_equal = p.filter(F.col("probe_first") != "").join(t, F.col("probe_first") == F.col("target_first"))
-    last_equal = p.filter(F.col("probe_last") != "").join(t, F.col("probe_last") == F.col("target_last"))
-    branches = [
-        pair(first_equal.filter((F.col("probe_last") == F.col("target_last")) & (F.col("probe_last") != "")), FULL_NAME),
-        pair(first_equal.filter((F.col("probe_last") == "") | (F.col("target_last") == "")), FIRST_NAME),
-        pair(last_equal.filter((F.col("probe_first") == "") | (F.col("target_first") == "")), LAST_NAME),
-    ]
+    same = lambda part: (F.col(f"probe_{part}") == F.col(f"target_{part}")) & (F.col(f"probe_{part}") != "")
+    branches = [pair(p.join(t, same("first") & same("last")), FULL_NAME)]
+    for part, other, score in (("first", "last", FIRST_NAME), ("last", "first", LAST_NAME)):
+        # Only those without the other part meet everybody of that name.
+        branches.append(pair(p.filter(F.col(f"probe_{other}") == "").join(t, same(part)), score))
+        branches.append(pair(p.filter(F.col(f"probe_{other}") != "").join(t.filter(F.col(f"target_{other}") == ""), same(part)), score))
     if nick:
-        same = nick[0].join(nick[1], "value").select("probe_id", "target_id").distinct()
-        both = same.join(p.filter(nameless("probe")).select("probe_id"), "probe_id", "left_semi").join(t.filter(nameless("target")).select("target_id"), "target_id", "left_semi")
-        branches += [pair(both, NICKNAME_ONLY), pair(same, SAME_NICKNAME)]
+        shared = nick[0].join(nick[1], "value").select("probe_id", "target_id").distinct()
+        both = shared.join(p.filter(nameless("probe")).select("probe_id"), "probe_id", "left_semi").join(t.filter(nameless("target")).select("target_id"), "target_id", "left_semi")
+        branches += [pair(both, NICKNAME_ONLY), pair(shared, SAME_NICKNAME)]
     for kind in ("email", "phone", "account"):
         if kind in points:
             one, two = (_points(x, s) for x, s in zip(points[kind], ("probe", "target"), strict=True))
@@ -74,19 +78,110 @@ def best(pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return top.select("probe_id", (-F.col("m.target")).alias("target_id"), F.col("m.score").alias("score"))
 
 
+# --- the best target of each probe, without listing pairs --------------------------------------------------------
+
+def _people(people: DataFrame, points: dict[str, DataFrame], place: Column) -> DataFrame:
+    """id, place, first, last, gender, nicks and points (kind:value) of each person; places are compared to tell who comes first."""
+    out = people.select("id", place.alias("place"), _low("firstName").alias("first"), _low("lastName").alias("last"), F.coalesce("gender", F.lit(0)).alias("gender"))
+    values = {"nicks": [points["nickname"].select("id", F.lower("value").alias("v"))] if "nickname" in points else [], "points": [t.select("id", F.concat(F.lit(f"{k}:"), F.lower("value")).alias("v")) for k, t in points.items() if k != "nickname"]}
+    values["nicks"] = [t.filter(~blank(F.col("v"))) for t in values["nicks"]]
+    values["points"] = [t.filter(~F.col("v").rlike("^[a-z]+:$") & F.col("v").isNotNull()) for t in values["points"]]
+    for name, tables in values.items():
+        sets = reduce(DataFrame.union, tables).groupBy("id").agg(F.collect_set("v").alias(name)) if tables else None
+        out = out.join(sets, "id", "left") if sets is not None else out.withColumn(name, F.lit(None).cast("array<string>"))
+    return out
+
+
+def _entries(people: DataFrame, probing: bool) -> DataFrame:
+    """A row for each way in which a person can reach the threshold: way, key (what both must share), score, and the person.
+
+    Ways are a full name; one name, where the other is blank on one side, and
+    a shared point; a nickname where there is no name. A shared nickname or
+    point adds to the score, as further parts of the key.
+    """
+    first, last = F.col("first"), F.col("last")
+    nameless = (first == "") & (last == "")
+    probe_blank, target_blank = (lambda c: c == "", lambda c: F.lit(True)) if probing else (lambda c: F.lit(True), lambda c: c == "")
+    # One of the two sides has the other part blank: the probe (p), or the target while the probe has it (t).
+    side_p = lambda part, other: (part != "") & probe_blank(other)
+    side_t = lambda part, other: (part != "") & ((other != "") if probing else target_blank(other))
+    none, nicks, points = F.array(F.lit("")), F.coalesce("nicks", F.array().cast("array<string>")), F.coalesce("points", F.array().cast("array<string>"))
+    ways = [("full", (first != "") & (last != ""), [first, last], FULL_NAME)]
+    for name, part, other, score in (("first", first, last, FIRST_NAME), ("last", last, first, LAST_NAME)):
+        ways += [(f"{name}-p", side_p(part, other), [part], score), (f"{name}-t", side_t(part, other), [part], score)]
+    out = []
+    for way, holds, key, score in ways:
+        for nick, point in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            if score + SAME_NICKNAME * nick + CONTACT_POINT * point >= THRESHOLD:
+                out.append((f"{way}{nick}{point}", holds, key, nicks if nick else none, points if point else none, score + SAME_NICKNAME * nick + CONTACT_POINT * point))
+    out += [(f"nick{point}", nameless, [], nicks, points if point else none, NICKNAME_ONLY + SAME_NICKNAME + CONTACT_POINT * point) for point in (0, 1)]
+    rows = F.filter(F.array(*[F.when(holds, F.struct(F.lit(way).alias("way"), F.lit(score).alias("score"), F.array(*key).cast("array<string>").alias("key"), n.alias("n"), p.alias("p"))) for way, holds, key, n, p, score in out]), lambda x: x.isNotNull())
+    spread = people.select("id", "place", "gender", F.explode(rows).alias("e")).select("id", "place", "gender", "e.*")
+    spread = spread.select("id", "place", "gender", "way", "score", "key", F.explode("n").alias("nick"), "p").select("id", "place", "gender", "way", "score", "key", "nick", F.explode("p").alias("point"))
+    return spread.select("id", "place", "gender", "score", F.concat(F.array("way"), F.col("key"), F.array("nick", "point")).alias("key"))
+
+
+def best_matches(probes: DataFrame, targets: DataFrame, points: dict[str, tuple[DataFrame, DataFrame]], excluded: DataFrame | None = None, within: bool = False) -> DataFrame:
+    """probe_id, target_id, score, among: the target of the highest score from THRESHOLD on, of equal ones the lowest id.
+
+    within: probes with lower ids are targets as well (among is true for
+    those), after all targets of the same score; so equal probes find each
+    other. Other arguments are those of scores().
+
+    Which of the sharers of a key a probe would take doesn't depend on the
+    probe but for its gender and its own place, so the first by gender is found
+    for each key by partial aggregation, and each probe meets at most three
+    rows a key: no key makes pairs, however many share it. Only probes with
+    exclusions are compared with all that share a key with them.
+    """
+    there = lambda p, among: F.struct(F.lit(among).alias("among"), F.col("id").alias("id"))
+    asked = _people(probes, {k: v[0] for k, v in points.items()}, there(probes, True))
+    known = _people(targets, {k: v[1] for k, v in points.items()}, there(targets, False))
+    if within:
+        known = known.unionByName(asked)
+    first = _entries(known, False).groupBy("key", "gender").agg(F.min("place").alias("target"))
+    genders = F.when(F.col("gender") == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.col("gender")))
+    wanted = _entries(asked, True).select("id", "place", "score", "key", F.explode(genders).alias("gender"))
+    found = wanted.join(first, ["key", "gender"]).filter(F.col("target") < F.col("place")).select(F.col("id").alias("probe_id"), "score", "target")
+    if excluded is not None:
+        barred = excluded.select("probe_id", "target_id").distinct()
+        own = probes.join(barred.select(F.col("probe_id").alias("id")).distinct(), "id", "left_semi")
+        plain = scores(own, targets, points, barred).withColumn("among", F.lit(False))
+        if within:
+            # the same tables on both sides, as copies with columns of their own
+            copy = lambda df: df.toDF(*df.columns)
+            plain = plain.unionByName(scores(own, copy(probes), {k: (v[0], copy(v[0])) for k, v in points.items()}).filter("target_id < probe_id").withColumn("among", F.lit(True)))
+        plain = plain.filter(F.col("score") >= THRESHOLD).select("probe_id", F.col("score").cast("int").alias("score"), F.struct("among", F.col("target_id").alias("id")).alias("target"))
+        found = found.join(own.select(F.col("id").alias("probe_id")), "probe_id", "left_anti").unionByName(plain)
+    top = found.groupBy("probe_id").agg(F.min(F.struct((-F.col("score")).alias("score"), "target")).alias("m"))
+    return top.select("probe_id", F.col("m.target.id").alias("target_id"), (-F.col("m.score")).cast("long").alias("score"), F.col("m.target.among").alias("among"))
+
+
+def _settled(own: DataFrame) -> DataFrame:
+    """probe_id, target_id, among with chains of probes followed to their ends; a probe that founds has itself. Each round doubles the reach."""
+    state = stash(own.select("probe_id", F.coalesce("target_id", "probe_id").alias("target_id"), F.coalesce("among", F.lit(True)).alias("among")), "matches")
+    while True:
+        far = state.select(F.col("probe_id").alias("p"), F.col("target_id").alias("t"), F.col("among").alias("a"))
+        step = state.join(far, F.col("among") & (F.col("target_id") == F.col("p")), "left")
+        new = stash(step.select("probe_id", F.when(F.col("among"), F.col("t")).otherwise(F.col("target_id")).alias("target_id"), F.when(F.col("among"), F.col("a")).otherwise(F.lit(False)).alias("among"), (F.col("among") & (F.col("t") != F.col("target_id")) | F.col("among") & ~F.col("a")).alias("moved")), "matches")
+        discard(state)
+        state = new.select("probe_id", "target_id", "among")
+        if new.filter("moved").isEmpty():
+            return state
+
+
 def attach(probes: DataFrame, matches: DataFrame, next_id: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (aggregate, record) of all probes, and the aggregates that are new: probes without a match get one, with ids from next_id on."""
-    own = probes.select(F.col("id").alias("probe_id")).join(matches.select("probe_id", "target_id"), "probe_id", "left")
-    lone = own.filter(F.col("target_id").isNull()).select("probe_id")
-    numbered = _numbered(lone, "probe_id", next_id)
-    edges = own.filter(F.col("target_id").isNotNull()).select(F.col("target_id").alias("firstId"), F.col("probe_id").alias("secondId")).union(numbered.select("target_id", "probe_id"))
-    return edges.withColumn("type", F.lit("Aggregates")), numbered.select(F.col("target_id").alias("contactId"), F.col("probe_id").alias("source"))
-
-
-def _numbered(df: DataFrame, key: str, start: int) -> DataFrame:
-    """df with target_id: consecutive numbers by the key. Numbers are given by partition of a range partitioning, plus the counts of those before."""
-    placed = df.orderBy(key).withColumn("seq", F.monotonically_increasing_id())
-    part = F.shiftright("seq", 33)
-    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.withColumn("start", F.sum("n").over(W.orderBy("part")) - F.col("n"))  # a row per partition
-    return placed.withColumn("part", part).join(F.broadcast(starts), "part").select(key, (F.col("start") + F.col("seq").bitwiseAND((1 << 33) - 1) + start).alias("target_id"))
+    """Edges (aggregate, record) of all probes, and the aggregates that are new.
+
+    A probe that matched a target joins it; one that matched another probe
+    joins what that one joins; one without a match founds an aggregate. New
+    ones get consecutive ids from next_id on, in the order of their founders.
+    """
+    named = matches if "among" in matches.columns else matches.withColumn("among", F.lit(False))
+    own = probes.select(F.col("id").alias("probe_id")).join(named.select("probe_id", "target_id", "among"), "probe_id", "left")
+    placed = _settled(own)
+    founders = placed.filter(F.col("among") & (F.col("probe_id") == F.col("target_id"))).select(F.col("probe_id").alias("source"))
+    new = stash(numbered(founders.orderBy("source"), "contactId", next_id).select(F.col("contactId").cast("long").alias("contactId"), "source"), "founders")
+    edges = placed.filter(~F.col("among")).select(F.col("target_id").alias("firstId"), F.col("probe_id").alias("secondId"))
+    edges = edges.union(placed.filter("among").join(new.withColumnRenamed("source", "target_id"), "target_id").select("contactId", "probe_id"))
+    return edges.withColumn("type", F.lit("Aggregates")), new

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.details import latest_state
+from ..operators.details import latest_state, union_all
+from ..sources.schema import TABLES, initial
 from .binding import Binding, Details, Field
 
 FIRST_NAMES = "Mira,Tobe,Tomas,Ilse,jorn,Jorn,quill,Quill,,Wanda"
@@ -122,6 +123,43 @@ def binding(spark: SparkSession, sf_dir: str, with_overlay: bool = False, aggreg
     )
 
 
+#: The store's tables over customers: records 10, 11, ..., whose names, numbers and addresses repeat.
+_ID = "c_custkey + 10"
+STORED = {
+    "contacts": {
+        "contactId": _ID, "collectionId": "CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 3 + c_custkey % 2 END", "created": "CAST(NULL AS TIMESTAMP)", "modified": "CAST(NULL AS TIMESTAMP)", "deleted": "CAST(NULL AS TIMESTAMP)",
+        "hasPhoneNumber": "c_custkey % 7 <> 0", "hasEmailAddress": "TRUE", "hasOnlineAccount": "FALSE", "isOnline": "c_custkey % 4 = 1", "isDeactivated": "c_custkey % 19 = 0", "changeFlags": "CASE WHEN c_custkey % 23 = 0 THEN 4 ELSE 0 END", "unhandledChangeFlags": "0", "type": "0",
+    },
+    "Name": {"detailId": "c_custkey * 8 + 1", "contactId": _ID, "firstName": "CASE WHEN c_custkey % 13 <> 0 THEN 'First' || CAST(c_custkey % 20 AS STRING) END", "lastName": "CASE WHEN c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 THEN 'Last' || CAST(c_custkey % 15 AS STRING) END"},
+    "PhoneNumber": {"detailId": "c_custkey * 8 + 2", "contactId": _ID, "phoneNumber": "'+1 555 ' || lpad(CAST(c_custkey % 400 AS STRING), 4, '0')", "normalizedNumber": "'1555' || lpad(CAST(c_custkey % 400 AS STRING), 4, '0')"},
+    "EmailAddress": {"detailId": "c_custkey * 8 + 3", "contactId": _ID, "emailAddress": "'M' || CAST(c_custkey % 250 AS STRING) || '@x.org'", "lowerEmailAddress": "'m' || CAST(c_custkey % 250 AS STRING) || '@x.org'"},
+    "Nickname": {"detailId": "c_custkey * 8 + 4", "contactId": _ID, "nickname": "'Nick' || CAST(c_custkey % 30 AS STRING)", "lowerNickname": "'nick' || CAST(c_custkey % 30 AS STRING)"},
+    "Gender": {"detailId": "c_custkey * 8 + 5", "contactId": _ID, "gender": "CAST(c_custkey % 5 AS INT)"},
+}
+#: Which customers have a row in each table.
+STORED_WHERE = {"contacts": "TRUE", "Name": "TRUE", "PhoneNumber": "c_custkey % 7 <> 0", "EmailAddress": "TRUE", "Nickname": "c_custkey % 13 = 0 OR c_custkey % 4 = 0", "Gender": "c_custkey % 5 IN (1, 2)"}
+#: Of the details: every ninth is deleted, others carry what a fetch shows.
+STORED_HEADER = {"changeFlags": "CASE WHEN {id} % 9 = 0 THEN 4 ELSE 0 END", "contexts": "CASE WHEN {id} % 2 = 0 THEN array('Home') END", "detailUri": "CASE WHEN {id} % 5 = 0 THEN 'u' || CAST({id} AS STRING) END", "modifiable": "{id} % 4 = 0"}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of a store over the customers, as snapshots have them."""
+    db = initial(spark)
+    own, heads = table(spark, sf_dir, "customer"), []
+    for name, columns in STORED.items():
+        rows = shaped(own.filter(STORED_WHERE[name]), columns)
+        schema = TABLES[name]
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+        db[name] = db[name].unionByName(rows)
+        if name != "contacts":
+            heads.append(rows.select("detailId", "contactId", F.lit(name).alias("detail"), *[F.expr(e.replace("{id}", "detailId")).alias(c) for c, e in STORED_HEADER.items()]))
+    head = union_all(heads)
+    db["details"] = head.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in head.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES["details"]])
+    more = spark.createDataFrame([(i, True, f"collection {i}", None, None, None, None, None, None, None, 0, False) for i in (3, 4)], TABLES["collections"])
+    db["collections"] = db["collections"].unionByName(more)
+    return db
+
+
 def part_binding(spark: SparkSession, sf_dir: str) -> Binding:
     own = parts(spark, sf_dir)
     f = {k: Field(k) for k in ("firstName", "lastName", "label", "brand", "kind")} | {"size": Field("size", "int")}
@@ -137,7 +175,10 @@ SQL = {
     "edges": "SELECT DISTINCT l_partkey AS firstId, l_suppkey AS secondId, l_returnflag AS type FROM lineitem",
     "overlay": f"SELECT contactId, s.state AS presenceState, s.state BETWEEN 1 AND 5 AS isOnline, s.day AS modified FROM (SELECT user_id AS contactId, arg_max(struct_pack(state := {STATES}, day := CAST(ts AS DATE)), (ts, event_id)) AS s FROM events GROUP BY user_id)",
     "presence": "SELECT c_custkey AS contactId, CAST(c_custkey % 7 AS INT) AS presenceState FROM customer",
+    **{f"stored_{n}": sql_of(c, f"customer WHERE {STORED_WHERE[n]}") for n, c in STORED.items()},
 }
+#: The same without the deleted details.
+SQL |= {f"live_{n}": f"SELECT * FROM ({SQL[f'stored_{n}']}) WHERE detailId % 9 <> 0" for n in STORED if n != "contacts"}
 
 
 def with_tables(sql: str, *tables: str) -> str:

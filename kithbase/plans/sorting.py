@@ -100,17 +100,22 @@ def ranked(b: Binding, df: DataFrame, keys: list[Sort], name: str = "rank") -> D
 
 
 def numbered(in_order: DataFrame, name: str, start: int = 1) -> DataFrame:
-    """Rows of a sorted frame with consecutive numbers from start.
+    """Rows of a frame, in the order in which they come, with consecutive numbers from start."""
+    return numbered_once(in_order, name, start)[0]
 
-    The sorted rows are written once, with their partition and their place in
-    it: counts and rows must come from one and the same run, since a second
-    one may draw the ranges elsewhere.
+
+def numbered_once(in_order: DataFrame, name: str, start: int = 1) -> tuple[DataFrame, int]:
+    """numbered(), and the next number.
+
+    The rows are written once, with their partition and their place in it:
+    counts and rows must come from one and the same run, since a second one
+    may draw the ranges elsewhere.
     """
     both = (1 << 33) - 1  # the bits of monotonically_increasing_id() for the place in a partition
-    placed = stash(in_order.withColumn("_seq", F.monotonically_increasing_id()), "sorted").withColumn("_part", F.shiftright("_seq", 33))
+    placed = stash(in_order.withColumn("_seq", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_seq", 33))
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a partition
     before, total = {}, start
     for r in sorted(counts, key=lambda r: r._part):
         before[r._part], total = total, total + r.n
     starts = in_order.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "_part long, _start long")
-    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_seq").bitwiseAND(both)).drop("_part", "_start", "_seq")
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_seq").bitwiseAND(both)).drop("_part", "_start", "_seq"), total

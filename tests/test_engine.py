@@ -21,13 +21,20 @@ def store(spark):
     })
 
 
+def records(store):
+    """The same store without its aggregates."""
+    aggregates = store.db["contacts"].filter("collectionId = 1 AND contactId > 2")
+    return Store(store.purge(aggregates.select("contactId")).db, aggregating=False)
+
+
 def ids(df):
     return [r.contactId for r in df.collect()]
 
 
 def test_queries(store):
-    assert ids(store.contact_ids(Detail("PhoneNumber", "phoneNumber", "212 555 0100", phone=True))) == []  # only aggregates are shown
-    plain = Store(store.db, aggregating=False)
+    found = store.contact_ids(Detail("PhoneNumber", "phoneNumber", "212 555 0100", phone=True))  # only aggregates are shown
+    assert [r.secondId for r in store.db["relationships"].join(found, found.contactId == F.col("firstId")).collect()] == [10]
+    plain = records(store)
     assert ids(plain.contact_ids(Detail("PhoneNumber", "phoneNumber", "(212) 555-0100", phone=True))) == [10]
     assert ids(plain.contact_ids(Detail("Name", "firstName", "ANDERS", fixed_string=True))) == [10]
     assert ids(plain.contact_ids(Everything(), [Sort("Name", "lastName")])) == [11, 12, 10, 13]
@@ -57,7 +64,7 @@ def test_validation(store, spark):
 
 def test_life(store, spark):
     told = []
-    s = Store(store.db, aggregating=False, listeners=[lambda df: told.append({r.contactId: r.event for r in df.collect()})])
+    s = Store(records(store).db, aggregating=False, listeners=[lambda df: told.append({r.contactId: r.event for r in df.collect()})])
     one = lambda *i: spark.createDataFrame([(x,) for x in i], "contactId long")
     same, verdict = s.remove(one(10, 1))
     assert same is s and {r.contactId: r.verdict for r in verdict.collect()} == {10: "ok", 1: "self"}
@@ -79,10 +86,80 @@ def test_life(store, spark):
 
 
 def test_aggregation(store, spark):
-    s = store.aggregate_orphans()
-    links = s.db["relationships"].filter("secondId > 2").collect()
-    assert len(links) == 4 and len({r.firstId for r in links}) == 4
-    assert ids(s.contact_ids(And((Detail("Name", "lastName", "Zoll"),)))) == [r.firstId for r in links if r.secondId == 10]
-    twin = s.save(spark.createDataFrame([(30, 2)], "contactId long, collectionId long"), {"Name": spark.createDataFrame([(30, "anders", "ZOLL")], "contactId long, firstName string, lastName string")}).aggregate_orphans()
-    assert {r.firstId for r in twin.db["relationships"].filter("secondId IN (10, 30)").collect()} == {r.firstId for r in links if r.secondId == 10}
-    assert twin.remove_relationships(twin.db["relationships"].filter("secondId = 11")).drop_childless().db["contacts"].filter(F.col("collectionId") == 1).count() == 4
+    d = lambda rows, schema: spark.createDataFrame(rows, schema)
+    links = {r.secondId: r.firstId for r in store.db["relationships"].filter("secondId > 2").collect()}
+    assert len(links) == 4 and len(set(links.values())) == 4
+    assert ids(store.contact_ids(And((Detail("Name", "lastName", "Zoll"),)))) == [links[10]]
+    # Two equal new records share an aggregate; a third joins the one that is there. Details come over once, with where they came from.
+    twins = store.save(d([(30, 2), (31, 2), (32, 2)], "contactId long, collectionId long"), {
+        "Name": d([(30, "anders", "ZOLL"), (31, "Nele", "Orth"), (32, "nele", "orth")], "contactId long, firstName string, lastName string"),
+        "PhoneNumber": d([(30, "+1 (212) 555-0100", None), (31, "77", "u"), (32, "78", None)], "contactId long, phoneNumber string, detailUri string"),
+        "Gender": d([(32, 2)], "contactId long, gender int"),
+    })
+    after = {r.secondId: r.firstId for r in twins.db["relationships"].filter("secondId > 2").collect()}
+    assert after[30] == links[10] == after[10] and after[31] == after[32] and after[31] not in links.values()
+    hint = Hint(types=("Name", "PhoneNumber", "Gender", "DisplayLabel"), relationships=False)
+    rows = {r.contactId: r for r in twins.contacts(hint=hint).collect()}
+    assert sorted(rows) == sorted(set(after.values()))
+    assert [(p.phoneNumber, p.provenance, p.accessConstraints) for p in rows[links[10]].PhoneNumber] == [("+1 (212) 555-0100", f"2:10:{store.db['PhoneNumber'].filter('contactId = 10').first().detailId}", 3)]
+    both = rows[after[31]]
+    assert {(p.phoneNumber, p.detailUri) for p in both.PhoneNumber} == {("77", "aggregate-31:u"), ("78", None)} and both.Gender[0].gender == 2 and both.DisplayLabel[0].displayLabel == "Nele Orth" and both.hasPhoneNumber
+    # An update shows in the aggregate, and a detail that goes is flagged for a sync.
+    changed = twins.save(d([(31, 2)], "contactId long, collectionId long"), {"Name": d([(31, "Nele", "Orth-Berg")], "contactId long, firstName string, lastName string"), "PhoneNumber": d([(31, "79", "u")], "contactId long, phoneNumber string, detailUri string")}, mask=("Name", "PhoneNumber"))
+    rows = {r.contactId: r for r in changed.contacts(hint=hint).collect()}
+    assert {p.phoneNumber for p in rows[after[31]].PhoneNumber} == {"79", "78"} and rows[after[31]].Name[0].lastName == "Orth-Berg"
+
+
+@pytest.fixture(scope="module")
+def pair(store, spark):
+    """The store with two records more, which share an aggregate."""
+    d = lambda rows, schema: spark.createDataFrame(rows, schema)
+    return store.save(d([(31, 2), (32, 2)], "contactId long, collectionId long"), {"Name": d([(31, "Nele", "Orth"), (32, "nele", "orth")], "contactId long, firstName string, lastName string"), "PhoneNumber": d([(31, "77"), (32, "78")], "contactId long, phoneNumber string")})
+
+
+def test_aggregates_lose_constituents(pair, spark):
+    d = lambda rows, schema: spark.createDataFrame(rows, schema)
+    after = {r.secondId: r.firstId for r in pair.db["relationships"].filter("secondId > 2").collect()}
+    hint = Hint(types=("PhoneNumber",), relationships=False)
+    # The last constituent takes the aggregate along.
+    gone, _ = pair.remove(d([(31,)], "contactId long"))
+    rows = {r.contactId: r for r in gone.contacts(hint=hint).collect()}
+    assert [p.phoneNumber for p in rows[after[31]].PhoneNumber] == ["78"]
+    gone, _ = gone.remove(d([(32,)], "contactId long"))
+    assert after[31] not in ids(gone.contact_ids())
+    apart = pair.remove_relationships(pair.db["relationships"].filter("secondId = 11"))
+    assert after[11] not in ids(apart.contact_ids()) and ids(apart.aggregate_orphans().contact_ids(Detail("Name", "lastName", "Arpad"))) != []
+
+
+def test_details(store, spark):
+    d = lambda rows, schema: spark.createDataFrame(rows, schema)
+    s = records(store)
+    one = d([(11, 2)], "contactId long, collectionId long")
+    before = {r.phoneNumber: r.detailId for r in s.db["PhoneNumber"].filter("contactId = 11").collect()}
+    s = s.clear_change_flags([2]).save(one, {"PhoneNumber": d([(11, "5551212"), (11, "5550000"), (11, "444")], "contactId long, phoneNumber string")}, mask=("PhoneNumber",))
+    again = {r.phoneNumber: r.detailId for r in s.db["PhoneNumber"].filter("contactId = 11").collect()}
+    assert again["5551212"] == before["5551212"] and again["5550000"] == before["5551213"] and "444" in again
+    less = s.save(one, {"PhoneNumber": d([(11, "444")], "contactId long, phoneNumber string")}, mask=("PhoneNumber",))
+    hint = Hint(types=("PhoneNumber",), relationships=False)
+    shown = lambda x, **k: {r.contactId: r for r in x.contacts(Ids((11,)), hint=hint, **k).collect()}[11].PhoneNumber
+    assert [p.phoneNumber for p in shown(less)] == ["444"] and {p.phoneNumber: p.changeFlags for p in shown(less, sync=True)} == {"5551212": 4, "5550000": 6, "444": 1}
+    assert ids(less.contact_ids(Detail("PhoneNumber", "phoneNumber", "5551212"))) == []
+    assert shown(less)[0].provenance == f"2:11:{again['444']}" and less.db["details"].filter("detail = 'Name' AND contactId = 11").first().changeFlags == 0
+    assert less.clear_change_flags([2]).db["PhoneNumber"].filter("contactId = 11").count() == 1
+    guids = {r.contactId: r.guid for r in less.db["Guid"].collect()}
+    assert set(guids) >= {10, 11, 12, 13} and guids == {r.contactId: r.guid for r in store.db["Guid"].join(spark.createDataFrame([(x,) for x in guids], "contactId long"), "contactId").collect()}
+    on = less.update_presence(d([(12, 4, "out")], "contactId long, presenceState int, customMessage string"), ["Presence"])
+    row = on.contacts(Ids((12,)), hint=Hint(types=("GlobalPresence",))).first()
+    assert row.isOnline and [(g.presenceState, g.customMessage) for g in row.GlobalPresence] == [(4, "out")]
+
+
+def test_identity_collections_and_jobs(store, spark):
+    assert store.identity() == 2 and store.identity(5) is None
+    assert store.set_identity(5, 11).identity(5) == 11 and store.set_identity(5, 11).set_identity(5, None).identity(5) is None
+    new = store.db["collections"].filter("collectionId = 2").withColumn("collectionId", F.lit(7).cast("long"))
+    s = store.save_collections(new, spark.createDataFrame([(7, "k", bytearray(b"v"))], "collectionId long, key string, value binary"))
+    assert {r.collectionId: r.metadata for r in s.collections().collect()}[7] == {"k": bytearray(b"v")}
+    job = store.submit(lambda s: [len(b) for b in s.in_batches(s.db["contacts"], 3)])
+    assert sum(job.result()) == store.db["contacts"].count() and job.progress() == (0, 0) and not job.cancel()
+    failing = store.submit(lambda s: 1 / 0)
+    assert isinstance(failing.exception(), ZeroDivisionError)
