@@ -1,47 +1,24 @@
-"""Where operators put what must outlive an executor: the session's shared folder."""
+"""Where operators put what must outlive an executor, and the size of what Python workers get at once."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.shared import discard, place, shared_dir, stash
 
-KEY = "spark.checkpoint.dir"
+__all__ = ["discard", "place", "shared_dir", "slim_batches", "stash"]
 
+#: The session's bounds on Arrow batches.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests) one of our own."""
-    base = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
-    if not base:
-        base = getattr(spark, "_kithbase_dir", None)
-        if base is None:
-            own = tempfile.mkdtemp(prefix="kithbase-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            base = spark._kithbase_dir = f"file://{own}"
-    return base.rstrip("/")
 
+def slim_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that a Python worker's memory doesn't follow the length of texts.
 
-def place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/kithbase/{uuid.uuid4().hex}/{name}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: tasks lost later are redone from the table, which
-    all executors see, and nothing above it runs twice.
+    Spark takes these bounds from the session when a plan runs, so the
+    operators lower them there (smaller ones stay) and never set them back.
     """
-    spark = df.sparkSession
-    path = place(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def slim_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches small, so that a Python worker's memory doesn't follow the length of texts."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))):
-        spark.conf.set(key, value)
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, "0").lower()
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))

@@ -233,16 +233,36 @@ def test_shards(spark, docs):
 
 def test_fingerprints(spark, docs):
     rows = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    got = {r.doc_id: r for r in merkle.fingerprints(rows).collect()}
+    found = merkle.fingerprints(rows)
+    from pyspark.sql import functions as F
+
+    got = {r.doc_id: r for r in found.withColumn("alike", merkle.alike(F.col("fingerprint"), F.col("edited_fingerprint"))).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    piece = re.compile(r"(?:[^\x20\x09-\x0D]{1,40}+[\x20\x09-\x0D]*+){1,4}+|[\x20\x09-\x0D]++")
+
+    def tree(text):
+        """Root, sections and leaves, each digest from those below it."""
+        leaf = [sha(p)[:32] for p in text.split("\n")]
+        section = [sha("".join(leaf[i : i + 8]))[:32] for i in range(0, len(leaf), 8)]
+        return sha("".join(section)), section, leaf
+
+    def near(a, b):
+        a, b = (({x for p in t.split("\n") for x in piece.findall(p)}) for t in (a, b))
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
+
     for i, t in enumerate(TEXTS):
         t, n = t or "", TEXTS[(i + 1) % len(TEXTS)] or ""
         k = len(t) // 4
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()
-        assert got[i].fingerprint.startswith(hashlib.sha256(t.encode()).hexdigest()) and 0 <= got[i].near_next <= 1
+        e = t[: len(t) - k] + n[:k]
+        for text, fp in ((t, got[i].fingerprint), (e, got[i].edited_fingerprint)):
+            top, *parts = fp.split("|")
+            assert (top, [p[:32] for p in parts], [x[:32] for p in parts for x in p[33:].split(";")]) == tree(text)
+            assert [len(x) - 33 for p in parts for x in p[33:].split(";")] == [8 * len(piece.findall(p)) for p in text.split("\n")]
+        assert got[i].near_edited == pytest.approx(1.0 if e == t else near(t, e)) and got[i].near_next == pytest.approx(1.0 if n == t else near(t, n))
+        assert got[i].alike == got[i].near_edited
     assert got[4].fingerprint == got[5].fingerprint and got[4].near_next == 1 and got[0].fingerprint == got[1].fingerprint
     assert 0.6 < got[8].near_edited < 0.9
-    from pyspark.sql import functions as F
-
     text = "\n".join(f"line {i} has some words in it" for i in range(40))
     other = text.replace("line 17 ", "line xx ")
     d = spark.createDataFrame([(text, other)], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b")).select(merkle.differing_paragraphs(F.col("a"), F.col("b"))).first()[0]
@@ -251,13 +271,18 @@ def test_fingerprints(spark, docs):
 
 def test_many_ranges(spark, monkeypatch):
     """Looking ahead over range borders gives what a sorted list gives."""
-    monkeypatch.setattr(merkle, "ROWS_PER_BUCKET", 3)
-    monkeypatch.setattr(merkle, "FANOUT", 4)
+    monkeypatch.setattr(merkle, "ROWS_PER_RANGE", 1)
+    monkeypatch.setattr(merkle, "FANOUT", 3)
     ids = [3, 1, 4, 1, 5, 9, 2, 6, 5, 35, 8, 97, 93, 23, 84, 62, 64, 33, 83, 27]
     df = spark.createDataFrame([(i, f"text {i} " + "ab" * i) for i in ids], "doc_id long, text string")
     got = sorted((r.doc_id, r.next_text) for r in merkle.with_next(df).collect())
     s = sorted(ids)
     assert got == [(a, f"text {b} " + "ab" * b) for a, b in zip(s, [*s[1:], s[0]])]
+    # ids that are texts, in the order of their bytes
+    named = spark.createDataFrame([(f"é{i}" if i % 2 else f"doc-{i}", f"text {i}") for i in set(ids)], "doc_id string, text string")
+    got = {r.doc_id: r.next_text for r in merkle.with_next(named).collect()}
+    s = sorted((f"é{i}" if i % 2 else f"doc-{i}" for i in set(ids)), key=str.encode)
+    assert got == {a: f"text {b.strip('é').removeprefix('doc-')}" for a, b in zip(s, [*s[1:], s[0]])}
 
 
 def test_additive_model():
