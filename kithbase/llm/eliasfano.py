@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections import OrderedDict
 from urllib.parse import urlparse
 
 import numpy as np
@@ -15,12 +16,13 @@ U64 = np.uint64
 class EliasFano:
     """A rising sequence: the low bits of each value packed, the high bits in unary; with the count of ones before each word."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.l, self.low, self.high, self.ones = n, low_bits, low, high, ones
+    def __init__(self, n: int, low_bits: int, top: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        self.n, self.l, self.top, self.low, self.high, self.ones = n, low_bits, top, low, high, ones
 
     @classmethod
-    def build(cls, values: np.ndarray, universe: int) -> EliasFano:
-        n = len(values)
+    def build(cls, values: np.ndarray) -> EliasFano:
+        n, top = len(values), int(values[-1]) if len(values) else 0
+        universe = top + 1
         l = max(0, (max(1, universe) // max(1, n)).bit_length() - 1)  # noqa: E741
         values = values.astype(U64)
         if l:
@@ -35,7 +37,7 @@ class EliasFano:
         upper[(values >> U64(l)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(upper, bitorder="little").view(U64)
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]).astype(np.uint32)
-        return cls(n, l, low.view(U64), high, ones)
+        return cls(n, l, top, low.view(U64), high, ones)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -63,33 +65,99 @@ class EliasFano:
         """Values by place."""
         return (self._select(i, True) - i << self.l) | self._low(i).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, -1 if it isn't there: the bucket of its high bits, then a successor search in the low bits."""
-        if not self.n or not len(keys):
-            return np.full(len(keys), -1, np.int64)
+    def find(self, keys: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """The place of each key among the places from lo to before hi (anywhere), -1 if it isn't there: the bucket of its high bits, then a successor search in the low bits."""
+        out = np.full(len(keys), -1, np.int64)
+        use = np.flatnonzero((keys <= self.top) & (keys >= 0)) if self.n else np.zeros(0, np.int64)
+        if not len(use):
+            return out
+        keys = keys[use]
         h = (keys >> self.l).astype(np.int64)
         low = (keys & ((1 << self.l) - 1)).astype(U64)
-        hi = self._select(h, False) - h
-        lo = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1 - h, 0)
-        end = hi.copy()
-        todo = np.flatnonzero(lo < hi)
+        end = self._select(h, False) - h
+        at = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1 - h, 0)
+        if lo is not None:
+            at, end = np.maximum(at, lo[use]), np.minimum(end, hi[use])
+        stop = end.copy()
+        todo = np.flatnonzero(at < stop)
         while len(todo):
-            middle = (lo[todo] + hi[todo]) >> 1
+            middle = (at[todo] + stop[todo]) >> 1
             less = self._low(middle) < low[todo]
-            lo[todo] = np.where(less, middle + 1, lo[todo])
-            hi[todo] = np.where(less, hi[todo], middle)
-            todo = todo[lo[todo] < hi[todo]]
-        hit = lo < end
-        hit[hit] = self._low(lo[hit]) == low[hit]
-        return np.where(hit, lo, -1)
+            at[todo] = np.where(less, middle + 1, at[todo])
+            stop[todo] = np.where(less, stop[todo], middle)
+            todo = todo[at[todo] < stop[todo]]
+        hit = at < end
+        hit[hit] = self._low(at[hit]) == low[hit]
+        out[use[hit]] = at[hit]
+        return out
 
     def parts(self, name: str) -> dict[str, np.ndarray]:
-        return {f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ones": self.ones, f"{name}.meta": np.array([self.n, self.l], np.int64)}
+        return {f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ones": self.ones, f"{name}.meta": np.array([self.n, self.l, self.top], np.int64)}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray], name: str) -> EliasFano:
-        n, l = arrays[f"{name}.meta"]  # noqa: E741
-        return cls(int(n), int(l), arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.ones"])
+        n, l, top = arrays[f"{name}.meta"]  # noqa: E741
+        return cls(int(n), int(l), int(top), arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.ones"])
+
+
+class Level:
+    """The children of a row of parents: a rising pointer to each parent's first child, and the children's values.
+
+    A value stands relative to its parent: to it is added the last value of
+    the parent before, so the sequence rises throughout. Without the pointers
+    it says nothing.
+    """
+
+    def __init__(self, at: EliasFano, values: EliasFano):
+        self.at, self.values = at, values
+
+    @classmethod
+    def build(cls, counts: np.ndarray, values: np.ndarray) -> Level:
+        """counts: children of each parent. values: theirs, rising within a parent."""
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        some = counts > 0
+        last = np.zeros(len(counts), np.int64)
+        last[some] = values[edges[1:][some] - 1]
+        base = np.cumsum(last) - last
+        return cls(EliasFano.build(edges), EliasFano.build(values + np.repeat(base, counts)))
+
+    def children(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each parent the places of its first child and behind its last, and what its children's values are relative to."""
+        lo, hi, base = self.at.access(parent), self.at.access(parent + 1), np.zeros(len(parent), np.int64)
+        inner = np.flatnonzero((lo > 0) & (hi > lo))
+        base[inner] = self.values.access(lo[inner] - 1)
+        return lo, hi, base
+
+    def find(self, lo: np.ndarray, hi: np.ndarray, base: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The place of the value among the children from lo to before hi, -1 if it isn't there."""
+        return self.values.find(base + value, lo, hi)
+
+    def parts(self, name: str) -> dict[str, np.ndarray]:
+        return self.at.parts(f"{name}.at") | self.values.parts(name)
+
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray], name: str) -> Level:
+        return cls(EliasFano.of(arrays, f"{name}.at"), EliasFano.of(arrays, name))
+
+
+class Files:
+    """Files of a folder by name, opened when they are asked for: the last ones used stay open, up to a number and (where they can't be mapped) to a number of bytes."""
+
+    def __init__(self, base: str, make=lambda arrays: arrays, most: int = 1024, most_bytes: int = 256 << 20):
+        self.base, self.make, self.most, self.most_bytes = base, make, most, most_bytes
+        self.open: OrderedDict[str, tuple[object, int]] = OrderedDict()
+        self.bytes = 0
+
+    def __getitem__(self, name: str):
+        if name in self.open:
+            self.open.move_to_end(name)
+            return self.open[name][0]
+        arrays = read(f"{self.base}/{name}")
+        size = 0 if _local(self.base) is not None else sum(a.nbytes for a in arrays.values())
+        while self.open and (len(self.open) >= self.most or self.bytes + size > self.most_bytes):
+            self.bytes -= self.open.popitem(last=False)[1][1]
+        self.open[name], self.bytes = (self.make(arrays), size), self.bytes + size
+        return self.open[name][0]
 
 
 def _local(uri: str) -> str | None:
@@ -130,3 +198,15 @@ def read(uri: str) -> dict[str, np.ndarray]:
     size = int.from_bytes(raw[:8].tobytes(), "little")
     heads, body = json.loads(raw[8 : 8 + size].tobytes()), raw[8 + size :]
     return {name: np.asarray(body[at : at + n * np.dtype(kind).itemsize]).view(kind) for name, kind, n, at in heads}
+
+
+def remove(uris: list[str]) -> None:
+    """Deletes files that are there."""
+    for uri in uris:
+        if (path := _local(uri)) is not None:
+            if os.path.exists(path):
+                os.remove(path)
+        else:
+            fs, path = pafs.FileSystem.from_uri(uri)
+            if fs.get_file_info(path).type != pafs.FileType.NotFound:
+                fs.delete_file(path)

@@ -4,11 +4,13 @@ Training counts all n-grams up to three tokens in two passes. The first
 counts words: a word's id is the rank of its hash, so the dictionary is a
 sorted list in shards. The second counts pairs and triples of ids and builds
 the trie in shards: contexts, pairs and triples are rising Elias-Fano
-sequences (a word's value stands relative to its context), the pointers from
-a level to the next likewise, with smoothed log-probabilities in a byte each.
-Scoring maps the shards from the shared folder into memory and looks n-grams
-up batch by batch. The probabilities are interpolated by absolute discounting;
-what unigrams leave goes to the unknown token.
+sequences, the pointers from a level to the next likewise, with smoothed
+log-probabilities in a byte each. A word's value stands relative to its
+context, so a look-up goes from the context's pointers to the range of its
+followers, and searches the successor of the word there. Scoring maps the
+shards from the shared folder into memory and looks n-grams up batch by batch.
+The probabilities are interpolated by absolute discounting; what unigrams
+leave goes to the unknown token.
 
 A pair (v, w) belongs to shard S * (before(v) + count(v) * before(w) / N) / N,
 where before(x) counts the tokens with smaller ids: shards get equal parts of
@@ -17,14 +19,12 @@ all pairs, whatever their first words are, so a hot word is spread.
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .eliasfano import EliasFano, read, write
+from .eliasfano import EliasFano, Files, Level, read, remove, write
 from .lexer import Block, blocks, mix, per_doc, texts
 from .store import place, slim_batches
 
@@ -114,12 +114,10 @@ class Words:
     """The dictionary: for hashes ids, counts and how many tokens have smaller ids."""
 
     def __init__(self, base: str, meta: dict):
-        self.base, self.m, self.files = base, meta, OrderedDict()
+        self.m, self.files = meta, Files(base)
 
     def shard(self, s: int) -> dict[str, np.ndarray]:
-        if s not in self.files:
-            self.files[s] = read(f"{self.base}/words-{s}")
-        return self.files[s]
+        return self.files[f"words-{s}"]
 
     def look(self, sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """id (-1: unknown), count, before."""
@@ -196,37 +194,37 @@ def _quantised(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.round((p - low) / step).astype(np.uint8), low + step * np.arange(256)
 
 
-def _trie(pair: np.ndarray, third: np.ndarray, count: np.ndarray, words: Words, counts_of) -> tuple[dict, list]:
-    """The arrays of one shard from its sorted distinct (pair, third), and what its first and last contexts leave."""
-    vocabulary = words.m["vocabulary"]
+def _levels(pair: np.ndarray, third: np.ndarray, count: np.ndarray, counts_of) -> tuple[dict, dict]:
+    """The levels of one shard from its sorted distinct (pair, third), and the counts of their entries."""
     new = np.concatenate([[True], pair[1:] != pair[:-1]])
     first = np.flatnonzero(new)
     key, c2 = pair[first], np.add.reduceat(count, first)
     v, w = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    contexts = v[starts]
-    c1 = counts_of(contexts)
-    place_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(v))))
-    d2 = discount((c2 == 1).sum(), (c2 == 2).sum())
     real = third != NO_THIRD
-    of_pair = (np.cumsum(new) - 1)[real]
-    t, c3 = third[real].astype(np.int64), count[real]
-    d3 = discount((c3 == 1).sum(), (c3 == 2).sum())
-    kinds = np.bincount(of_pair, minlength=len(key))
-    left1 = d2 * np.diff(np.append(starts, len(v))) / c1
-    left2 = np.where(kinds > 0, d3 * kinds / c2, 1.0)
-    p2, p3 = (c2 - d2) / c1[place_of], (c3 - d3) / c2[of_pair]
-    arrays = {}
-    for name, sequence, universe in (
-        ("contexts", contexts, vocabulary + 1), ("pairs", place_of * vocabulary + w, len(contexts) * vocabulary), ("pair_at", np.append(starts, len(v)), len(v) + 1),
-        ("triples", of_pair * vocabulary + t, len(key) * vocabulary), ("triple_at", np.concatenate([[0], np.cumsum(kinds)]), len(t) + 1),
-    ):
-        arrays |= EliasFano.build(sequence, universe).parts(name)
-    for name, p in (("left1", left1), ("left2", left2), ("p2", p2), ("p3", p3)):
+    kinds = np.bincount((np.cumsum(new) - 1)[real], minlength=len(key))
+    arrays = EliasFano.build(v[starts]).parts("contexts") | Level.build(np.diff(np.append(starts, len(v))), w).parts("pairs") | Level.build(kinds, third[real].astype(np.int64)).parts("triples")
+    return arrays, {"c1": counts_of(v[starts]), "c2": _narrow(c2), "c3": _narrow(count[real])}
+
+
+def _narrow(count: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as they need."""
+    return count.astype(np.min_scalar_type(int(count.max()) if len(count) else 0))
+
+
+def _probabilities(arrays: dict, counts: dict, d2: float, d3: float) -> tuple[dict, list[tuple[int, float]]]:
+    """Smoothed probabilities of a shard's entries in a byte each, and what its first and last contexts leave."""
+    children = lambda name: np.diff((at := EliasFano.of(arrays, f"{name}.at")).access(np.arange(at.n)))
+    kinds2, kinds3 = children("pairs"), children("triples")
+    c1, c2, c3 = (counts[k].astype(np.int64) for k in ("c1", "c2", "c3"))
+    left1, left2 = d2 * kinds2 / c1, np.where(kinds3 > 0, d3 * kinds3 / c2, 1.0)
+    out = {}
+    for name, p in (("left1", left1), ("left2", left2), ("p2", (c2 - d2) / np.repeat(c1, kinds2)), ("p3", (c3 - d3) / np.repeat(c2, kinds3))):
         code, table = _quantised(p)
-        arrays |= {name: code, f"{name}.table": table}
-    ends = sorted({0, len(contexts) - 1})
-    return arrays, [(int(contexts[i]), float(left1[i])) for i in ends]
+        out |= {name: code, f"{name}.table": table}
+    ends = sorted({0, len(c1) - 1})
+    contexts = EliasFano.of(arrays, "contexts").access(np.array(ends))
+    return out, [(int(v), float(left1[i])) for v, i in zip(contexts, ends, strict=True)]
 
 
 def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[str, dict]:
@@ -270,11 +268,25 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[str, dict]:
             order = np.lexsort((third, pair))
             pair, third, count = pair[order], third[order], count[order].astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (third[1:] != third[:-1])]))
-            arrays, ends = _trie(pair[first], third[first], np.add.reduceat(count, first), words, counts_of)
-            write(f"{base}/trie-{s}", arrays)
-            yield pa.RecordBatch.from_arrays([pa.array([s] * len(ends)), pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends])], ["shard", "context", "left"])
+            arrays, counts = _levels(pair[first], third[first], np.add.reduceat(count, first), counts_of)
+            write(f"{base}/levels-{s}", arrays)
+            write(f"{base}/counts-{s}", counts)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (s, *(int((counts[k] == n).sum()) for k in ("c2", "c3") for n in (1, 2)))], ["shard", "p1", "p2", "t1", "t2"])
+
+    built = own.mapInArrow(_ngram_counts(words), "shard int, a binary, b binary, c binary").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, p1 long, p2 long, t1 long, t2 long").collect()
+    # The discounts are those of the whole corpus, however many shards there are.
+    d2, d3 = (discount(sum(r[f"{k}1"] for r in built), sum(r[f"{k}2"] for r in built)) for k in "pt")
 
-    ends = own.mapInArrow(_ngram_counts(words), "shard int, a binary, b binary, c binary").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, context long, left double").collect()
+    def smooth(batches):
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                probabilities, ends = _probabilities(read(f"{base}/levels-{s}"), read(f"{base}/counts-{s}"), d2, d3)
+                write(f"{base}/probabilities-{s}", probabilities)
+                yield pa.RecordBatch.from_arrays([pa.array([s] * len(ends)), pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends])], ["shard", "context", "left"])
+
+    ends = spark.createDataFrame([(r.shard,) for r in built], "shard long").repartition(len(built), "shard").mapInArrow(smooth, "shard long, context long, left double").collect()
+    # Only now, as a lost task would read them again.
+    remove([f"{base}/counts-{r.shard}" for r in built])
     split: dict[int, float] = {}
     for r in ends:
         meta["built"][r.shard] = True
@@ -286,17 +298,22 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[str, dict]:
 # --- scoring -----------------------------------------------------------------------------------------------------
 
 
+def _opened_levels(a: dict[str, np.ndarray]) -> tuple[EliasFano, Level, Level]:
+    """A shard's contexts, pairs and triples."""
+    return EliasFano.of(a, "contexts"), Level.of(a, "pairs"), Level.of(a, "triples")
+
+
+def _opened_probabilities(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Codes (name#) and what they stand for."""
+    names = ("left1", "left2", "p2", "p3")
+    return {k: a[f"{k}.table"][np.arange(256)] for k in names} | {f"{k}#": a[k] for k in names}
+
+
 class Model:
     def __init__(self, base: str, meta: dict):
-        self.base, self.m, self.words, self.tries = base, meta, Words(base, meta), {}
+        self.m, self.words, self.levels, self.probabilities = meta, Words(base, meta), Files(base, _opened_levels), Files(base, _opened_probabilities)
         self.unknown = np.log10(max(meta["d1"] * meta["vocabulary"] / meta["tokens"], 1e-12)) if meta["tokens"] else 0.0
 
-    def trie(self, s: int) -> tuple[dict[str, EliasFano], dict[str, np.ndarray]]:
-        if s not in self.tries:
-            a = read(f"{self.base}/trie-{s}")
-            self.tries[s] = ({k: EliasFano.of(a, k) for k in ("contexts", "pairs", "triples")}, {k: a[f"{k}.table"][np.arange(256)] for k in ("left1", "left2", "p2", "p3")} | {f"{k}#": a[k] for k in ("left1", "left2", "p2", "p3")})
-        return self.tries[s]
-
     def score(self, array: pa.Array) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base score and score of each text."""
         m = self.m
@@ -322,33 +339,36 @@ class Model:
         up, tw = triple >> 32, triple & 0xFFFFFFFF
         a2, g1 = np.full(len(pair), -np.inf), np.zeros(len(pair))
         g2, a3 = np.zeros(len(pair)), np.full(len(triple), -np.inf)
+        number = np.full(len(pair), -1, np.int64)
         order, torder = np.argsort(home, kind="stable"), np.argsort(home[up], kind="stable")
         cut, tcut = np.searchsorted(home[order], np.arange(m["shards"] + 1)), np.searchsorted(home[up][torder], np.arange(m["shards"] + 1))
-        vocabulary = m["vocabulary"]
         for s in np.flatnonzero((np.diff(cut) > 0) & m["built"]):
-            ef, q = self.trie(int(s))
+            (contexts, pairs, triples), q = self.levels[f"levels-{s}"], self.probabilities[f"probabilities-{s}"]
             mine = order[cut[s] : cut[s + 1]]
-            context = ids[v[mine]]
-            distinct, back = np.unique(context, return_inverse=True)
-            where = ef["contexts"].find(distinct)[back]
+            distinct, back = np.unique(ids[v[mine]], return_inverse=True)
+            where = contexts.find(distinct)
+            known_context = where >= 0
+            ranges = np.zeros((3, len(distinct)), np.int64)
+            ranges[:, known_context] = pairs.children(where[known_context])
+            where = where[back]
             hit = where >= 0
             g1[mine[hit]] = q["left1"][q["left1#"][where[hit]]]
-            ok = hit & (ids[w[mine]] >= 0)
+            ok = np.flatnonzero(hit & (ids[w[mine]] >= 0))
             entry = np.full(len(mine), -1, np.int64)
-            entry[ok] = ef["pairs"].find(where[ok] * vocabulary + ids[w[mine[ok]]])
-            got = entry >= 0
+            entry[ok] = pairs.find(*ranges[:, back[ok]], ids[w[mine[ok]]])
+            got = np.flatnonzero(entry >= 0)
             a2[mine[got]] = q["p2"][q["p2#"][entry[got]]]
             g2[mine[got]] = q["left2"][q["left2#"][entry[got]]]
             own = torder[tcut[s] : tcut[s + 1]]
+            own = own[ids[tw[own]] >= 0]
             if len(own):
-                number = np.full(len(pair), -1, np.int64)
-                number[mine] = entry
-                e, third = number[up[own]], ids[tw[own]]
-                ok = (e >= 0) & (third >= 0)
-                found = np.full(len(own), -1, np.int64)
-                found[ok] = ef["triples"].find(e[ok] * vocabulary + third[ok])
-                got = found >= 0
-                a3[own[got]] = q["p3"][q["p3#"][found[got]]]
+                number[mine] = -1
+                number[mine[got]] = np.arange(len(got))
+                row = number[up[own]]
+                own, row = own[row >= 0], row[row >= 0]
+                below = np.array(triples.children(entry[got]))
+                found = triples.find(*below[:, row], ids[tw[own]])
+                a3[own[found >= 0]] = q["p3"][q["p3#"][found[found >= 0]]]
         contexts, left = m["split"]
         if len(contexts):
             k = np.minimum(np.searchsorted(contexts, ids[v]), len(contexts) - 1)

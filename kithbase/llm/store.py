@@ -19,6 +19,6 @@ def slim_batches(spark: SparkSession) -> None:
     operators lower them there (smaller ones stay) and never set them back.
     """
     for key, most in BATCH.items():
-        now = spark.conf.get(key, "0").lower()
+        now = spark.conf.get(key).rstrip("bB")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
