@@ -2,11 +2,14 @@
 
 A shingle that stands c times in a text has weight c. Weights are cut into
 the dyadic intervals [0,1), [1,2), [2,4), ...; each (shingle, interval) has a
-Poisson process of its own, whose points carry a time, a signature slot and a
-place in the interval, which decides whether the point lies below the weight.
-A slot's value is the earliest time of its points, so two texts agree in a
-slot with the probability of their weighted Jaccard similarity. Only points
-up to a bound are made at all: some m * ln(m) for a text of any length.
+Poisson process, whose points carry a time and a signature slot. Processes are
+hierarchical: once the first point of an interval is known, it falls to one
+half of the interval, and both halves go on as processes of their own, down to
+single steps of weight. Halves above the weight are dropped as a whole, so
+texts of different weights see the same points as far as both reach. A slot's
+value is the earliest time of its points, so two texts agree in a slot with
+the probability of their weighted Jaccard similarity. Only points up to a
+bound are made at all: some m * ln(m) for a text of any length.
 
 Slots are banded; texts that share a band are candidates (at a similarity of
 0.8 all bands fail five times in a million). In each bucket the members are
@@ -17,8 +20,9 @@ Links join components; a bucket is done when all its members are in one.
 What is then unsettled (texts that share a long passage with many others, say)
 is settled exactly by a prefix filter: two texts of that similarity must share
 a shingle among the fifth of their weight that comes first, the rarest first,
-so passages that many share bring no candidates. So no bucket's pairs are all
-made, and no link that joins two components is missed.
+so passages that many share bring no candidates. A shingle that stands there
+in many texts counts only together with a band that both share. So no bucket's
+pairs are all made, and no link that joins two components is missed.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexer import Block, blocks, mix, salted
-from .store import slim_batches, stash
+from .store import discard, slim_batches, stash
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -83,43 +87,83 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
     width = np.where(k < 2, 1, np.left_shift(1, np.maximum(k - 1, 0)))
     low = np.where(k == 0, 0, width)
     seed = salted(element[row] + k.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03), 7)
-    who, reach = doc[row], weight[row] - low
+    who, reach = doc[row], weight[row]
     bound = slots * (np.log(slots) + 3.0) / np.maximum(total, 1)
     active = np.arange(len(row))
     while len(active):
         limit = (bound * 2.0**UNIT).astype(np.uint64)
-        _points(out, active, seed, who, width, reach, limit, bound, slots)
+        single, wide = active[width[active] == 1], active[width[active] > 1]
+        steps = _halved(out, who[wide], seed[wide], low[wide], width[wide], reach[wide], limit, slots)
+        _points(out, np.concatenate([who[single], steps[0]]), np.concatenate([seed[single], steps[1]]), np.concatenate([np.zeros(len(single), np.uint64), steps[2]]), limit, bound, slots)
         missing = (out == NEVER).any(1) & (total > 0)
         bound = np.where(missing, bound * 2, bound)
         active = active[missing[who[active]]]
     return out
 
 
-def _points(out, active, seed, who, width, reach, limit, bound, slots) -> None:
-    """Lets all points of the active rows up to their text's limit fall into their slots."""
-    flat = out.reshape(-1)
-    time, count = np.zeros(len(active), np.uint64), np.zeros(len(active), np.int64)
-    while len(active):
-        d, w = who[active], width[active]
+def _gap(bits: np.ndarray, rate: np.ndarray | int = 1) -> np.ndarray:
+    """Exponential waiting times from random bits, as integers in units of time."""
+    return (-np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * (2.0**UNIT / rate)).astype(np.uint64)
+
+
+def _fall(out, who, point, time, slots) -> None:
+    """Lets points fall into their slots."""
+    slot = ((mix(point ^ np.uint64(0xA5A5A5A55A5A5A5A)) & np.uint64(0xFFFFFFFF)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+    np.minimum.at(out.reshape(-1), who * slots + slot, time)
+
+
+def _halved(out, who, seed, low, width, reach, limit, slots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The points of wide intervals, by recursive halving; returns the single steps (who, seed, time of the last point) that go on by themselves.
+
+    A process is an interval with the time of its next point. A point falls
+    into its slot as soon as all of its interval lies below the weight; which
+    half it belongs to, and when the other half's next point comes, depends on
+    the shingle and the interval alone.
+    """
+    time, point = _gap(mix(seed ^ np.uint64(0x51ED270B)), width), mix(seed + np.uint64(0x2545F4914F6CDD1D))
+    fallen = np.zeros(len(who), bool)
+    ended: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    while len(who):
+        on = np.flatnonzero((time <= limit[who]) & (low < reach))
+        who, seed, low, width, reach, time, point, fallen = (x[on] for x in (who, seed, low, width, reach, time, point, fallen))
+        now = ~fallen & (low + width <= reach)
+        _fall(out, who[now], point[now], time[now], slots)
+        fallen = fallen | now
+        leaf = width == 1
+        ended.append((who[leaf], seed[leaf], time[leaf]))
+        who, seed, low, width, reach, time, point, fallen = (x[~leaf] for x in (who, seed, low, width, reach, time, point, fallen))
+        half = width >> 1
+        right = (mix(seed ^ np.uint64(0x94D049BB)) >> np.uint64(63)).astype(np.int64)  # which half the point belongs to
+        parts = []
+        for own in (True, False):
+            side = right if own else 1 - right
+            child = mix(seed * np.uint64(0x9E3779B97F4A7C15) + side.astype(np.uint64) + np.uint64(1))
+            # The half without the point waits from here on for its own.
+            t = time if own else time + _gap(mix(child ^ np.uint64(0x51ED270B)), half)
+            p = point if own else mix(child + np.uint64(0x2545F4914F6CDD1D))
+            parts.append((who, child, low + side * half, half, reach, t, p, fallen & own))
+        who, seed, low, width, reach, time, point, fallen = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return tuple(np.concatenate(x) for x in zip(*ended, strict=True))
+
+
+def _points(out, who, seed, time, limit, bound, slots) -> None:
+    """Lets the points of single steps of weight, from a time on up to their text's limit, fall into their slots."""
+    count = np.zeros(len(who), np.int64)
+    while len(who):
         # as many points at once as are expected, one at least
-        size = 1 + (bound[d] * w * 1.2).astype(np.int64)
+        size = 1 + (bound[who] * 1.2).astype(np.int64)
         end = np.cumsum(size)
-        at = np.repeat(np.arange(len(active)), size)
+        at = np.repeat(np.arange(len(who)), size)
         number = np.arange(len(at)) - np.repeat(end - size, size) + count[at]
-        bits = mix(seed[active][at] + (number + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        gap = -np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-        gap = (gap * (2.0**UNIT / w[at])).astype(np.uint64)
+        bits = mix(seed[at] + (number + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        gap = _gap(bits)
         run = np.cumsum(gap)  # integers, so differences are exact
         t = run - np.repeat(run[end - size] - gap[end - size], size) + time[at]
-        inside = np.flatnonzero(t <= limit[d][at])
-        more = mix(bits[inside] ^ np.uint64(0xA5A5A5A55A5A5A5A))
-        a = active[at[inside]]
-        keep = ((more >> np.uint64(40)) * width[a].astype(np.uint64) >> np.uint64(24)).astype(np.int64) < reach[a]
-        slot = ((more & np.uint64(0xFFFFFFFF)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(flat, who[a[keep]] * slots + slot[keep], t[inside[keep]])
+        inside = np.flatnonzero(t <= limit[who][at])
+        _fall(out, who[at[inside]], bits[inside], t[inside], slots)
         last = t[end - 1]
-        on = last <= limit[d]
-        time, count, active = last[on], (count + size)[on], active[on]
+        on = last <= limit[who]
+        who, seed, time, count = who[on], seed[on], last[on], (count + size)[on]
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
@@ -183,14 +227,23 @@ def _representatives(members: DataFrame, used: DataFrame | None, number: int) ->
     free = members if used is None else members.join(used.select("b", F.col("rep").alias("cid")), ["b", "cid"], "left_anti")
     place = F.pmod(F.xxhash64("b", "cid", F.lit(number)), F.lit(4**number))
     best = free.groupBy("b", place.alias("place")).agg(F.max(F.struct("degree", F.xxhash64("cid", "b").alias("draw"), "cid", "comp")).alias("m"))
-    return best.select("b", F.col("m.cid").alias("rep"), F.col("m.comp").alias("rep_comp"))
+    return best.select("b", F.col("m.cid").alias("rep"), F.col("m.comp").alias("rep_comp"), F.col("m.degree").alias("rep_degree"))
+
+
+def _oriented(pairs: DataFrame) -> DataFrame:
+    """cid, rep of the distinct pairs (cid, degree; rep, rep_degree): the one that meets more others is the representative, whichever side it stood on."""
+    swap = F.struct("degree", "cid") > F.struct(F.col("rep_degree").alias("degree"), F.col("rep").alias("cid"))
+    one, two = F.col("cid"), F.col("rep")
+    return pairs.select(F.when(swap, two).otherwise(one).alias("cid"), F.when(swap, one).otherwise(two).alias("rep")).distinct()
 
 
 def verify(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     """cid, rep, similarity of the distinct pairs (cid, rep); payload has cid, text.
 
     A representative's text goes once to each task that compares members with
-    it; one with many members is dealt over several tasks.
+    it; one with many members is dealt over several tasks. The pairs are
+    _oriented(), so what meets many others is the representative, and a
+    member's text goes to its few representatives.
     """
     spans = pairs.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_TASK).cast("int").alias("tasks"))
     dealt = pairs.join(spans, "rep").withColumn("task", F.pmod(F.xxhash64("cid"), F.col("tasks")).cast("int"))
@@ -228,8 +281,8 @@ def _bags(df: DataFrame, rows, schema: str) -> DataFrame:
     return df.select("cid", "comp", "text").mapInArrow(run, schema)
 
 
-def _unsettled(texts: DataFrame, similarity: float) -> DataFrame:
-    """cid, rep: the pairs of different components among the texts (cid, comp, text) that can reach the similarity.
+def _unsettled(texts: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
+    """cid, rep: the pairs of different components among the texts (cid, comp, text) that can reach the similarity. buckets: cid, b of their bands.
 
     Shingles are put into one order: those not known as common by their hash,
     then the common ones by frequency. If two texts share no shingle of their
@@ -270,27 +323,51 @@ def _unsettled(texts: DataFrame, similarity: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(s[use].view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(size), pa.array(size - before[use])], ["s", "cid", "comp", "size", "left"])
 
     rows = _bags(texts, prefixes, "s long, cid binary, comp binary, size long, left long")
-    shared = rows.groupBy("s").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("s")
-    rows = stash(rows.join(shared, "s", "left_semi"), "prefixes")
+    shared = rows.groupBy("s").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most").select("s", "n")
+    rows = stash(rows.join(shared, "s"), "prefixes")
+    # A shingle in many prefixes counts only together with a shared band: two texts of that similarity share both.
+    narrow = rows.filter(F.col("n") > MEMBERS_PER_TASK).join(buckets.select("cid", "b"), "cid")
+    rows = stash(rows.filter(F.col("n") <= MEMBERS_PER_TASK).select("*", F.lit(None).cast("long").alias("b")).unionByName(narrow), "prefixes")
+    # Any key that many texts still share is dealt over several tasks.
+    dealt = rows.groupBy("s", "b").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(F.count(F.lit(1)) / MEMBERS_PER_TASK).cast("int").alias("tasks")).filter("least <> most")
+    key = lambda x, y: (x["s"] == y["s"]) & x["b"].eqNullSafe(y["b"])
+    keyed = stash(rows.drop("n").alias("x").join(dealt.select("s", "b", "tasks").alias("y"), key({c: F.col(f"x.{c}") for c in "sb"}, {c: F.col(f"y.{c}") for c in "sb"})).select("x.*", "tasks"), "keyed")
     part = similarity / (1 + similarity)
-    small = rows.filter(F.col("left") >= 2 * part * F.col("size") - 1e-6).select("s", *[F.col(c).alias(f"small_{c}") for c in ("cid", "comp", "size", "left")])
+    small = keyed.filter(F.col("left") >= 2 * part * F.col("size") - 1e-6).select(F.col("s").alias("small_s"), F.col("b").alias("small_b"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("small_task"), *[F.col(c).alias(f"small_{c}") for c in ("cid", "comp", "size", "left")])
+    large = keyed.withColumn("task", F.pmod(F.xxhash64("cid"), F.col("tasks")).cast("int"))
     ordered = (F.col("small_size") < F.col("size")) | ((F.col("small_size") == F.col("size")) & (F.col("small_cid") < F.col("cid")))
     enough = F.least("left", "small_left") >= part * (F.col("size") + F.col("small_size")) - 1e-6
-    pairs = rows.join(small, "s").filter(ordered & enough & (F.col("comp") != F.col("small_comp")))
-    return pairs.select(F.least("cid", "small_cid").alias("cid"), F.greatest("cid", "small_cid").alias("rep")).distinct()
+    same = (F.col("s") == F.col("small_s")) & F.col("b").eqNullSafe(F.col("small_b")) & (F.col("task") == F.col("small_task"))
+    pairs = stash(large.join(small, same).filter(ordered & enough & (F.col("comp") != F.col("small_comp"))).select("cid", F.col("small_cid").alias("rep")).distinct(), "candidates")
+    degree = pairs.select("cid").union(pairs.select("rep")).groupBy("cid").agg(F.count(F.lit(1)).alias("degree"))
+    return _oriented(pairs.join(degree, "cid").join(degree.select(F.col("cid").alias("rep"), F.col("degree").alias("rep_degree")), "rep"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """cid, comp: the least member of each connected component of the edges (u, v). Labels spread to neighbours and jump along themselves until none changes; nothing is collected."""
-    both = stash(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct(), "edges")
+    """cid, comp: the least member of each connected component of the edges (u, v). Labels spread to neighbours and jump along themselves until none changes; nothing is collected.
+
+    A node with many edges sends its label to as many tasks as its edges are
+    dealt over.
+    """
+    every = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct()
+    hubs = every.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MEMBERS_PER_TASK).select(F.col("v").alias("hub"), F.ceil(F.col("n") / MEMBERS_PER_TASK).cast("int").alias("tasks"))
+    hubs = stash(hubs, "hubs")
+    task = F.coalesce(F.pmod(F.xxhash64("u"), F.col("tasks")).cast("int"), F.lit(0))
+    both = stash(every.join(hubs, F.col("v") == F.col("hub"), "left").select("u", "v", task.alias("task")), "edges")
     label = stash(both.groupBy(F.col("u").alias("cid")).agg(F.min("v").alias("m")).select("cid", F.least("cid", "m").alias("comp")), "label")
     while True:
-        near = both.join(label.select(F.col("cid").alias("v"), F.col("comp").alias("there")), "v").groupBy(F.col("u").alias("cid")).agg(F.min("there").alias("near"))
+        sent = label.join(hubs, F.col("cid") == F.col("hub"), "left").select(F.col("cid").alias("v"), F.col("comp").alias("there"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tasks") - 1, F.lit(0)))).alias("task"))
+        near = both.join(sent, ["v", "task"]).groupBy(F.col("u").alias("cid")).agg(F.min("there").alias("near"))
         step = label.join(near, "cid").select("cid", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = step.join(label.select(F.col("cid").alias("comp"), F.col("comp").alias("far")), "comp", "left").select("cid", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp"))
+        # All may have one label by now, so that the jump is a join with a hot key: only labels that lead further are looked up.
+        further = label.filter(F.col("cid") != F.col("comp")).select(F.col("cid").alias("comp"), F.col("comp").alias("far"))
+        jump = step.join(further, "comp", "left").select("cid", "old", F.least("comp", F.coalesce("far", "comp")).alias("comp"))
         new = stash(jump, "label")
+        discard(label)
         label = new.select("cid", "comp")
+        label._kithbase_path = new._kithbase_path
         if new.filter(F.col("old") != F.col("comp")).isEmpty():
+            discard(both, hubs)
             return label
 
 
@@ -298,36 +375,41 @@ def group(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     """(cid, comp, copies, first, size of every class of equal texts; doc_id, cid, bands of every row). comp is the group of near duplicates, first the least (doc_id, cid) in it, size its rows."""
     rows = stash(sketch(docs), "sketch")
     classes = stash(rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "classes")
-    members = stash(_shared(classes), "members")
+    members = every = stash(_shared(classes), "members")
     texts = docs.select(_cid().alias("cid"), F.coalesce("text", F.lit("")).alias("text"))
     payload = stash(texts.join(members.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "payload")
     known = used = label = None
+    done = [every, payload]
 
     def settle(pairs: DataFrame) -> None:
         nonlocal known, label
         pairs = pairs if known is None else pairs.join(known.select("cid", "rep"), ["cid", "rep"], "left_anti")
         fresh = stash(verify(pairs, payload), "verified")
+        done.append(fresh)
         known = fresh if known is None else known.union(fresh)
+        discard(label)
         label = components(known.filter(F.col("similarity") >= similarity).select(F.col("cid").alias("u"), F.col("rep").alias("v")))
 
     for number in range(ROUNDS):
         members = stash(_open(members.select("b", "cid", "degree"), label), "open")
         reps = stash(_representatives(members, used, number), "representatives")
+        done += [members, reps]
         if reps.isEmpty():
             break
         used = reps.select("b", "rep") if used is None else used.union(reps.select("b", "rep"))
-        apart = members.join(reps, "b").filter(F.col("comp") != F.col("rep_comp"))
-        settle(apart.select(F.least("cid", "rep").alias("cid"), F.greatest("cid", "rep").alias("rep")).distinct())
+        settle(_oriented(members.join(reps, "b").filter(F.col("comp") != F.col("rep_comp"))))
     else:
-        rest = _open(members.select("b", "cid", "degree"), label).select("cid", "comp").distinct()
-        rest = stash(payload.join(rest, "cid"), "unsettled")
+        buckets = stash(_open(members.select("b", "cid", "degree"), label).select("b", "cid", "comp"), "open")
+        rest = stash(payload.join(buckets.select("cid", "comp").distinct(), "cid"), "unsettled")
+        done += [buckets, rest]
         if not rest.isEmpty():
-            settle(_unsettled(rest, similarity))
-    if label is None:
-        label = classes.select("cid", F.col("cid").alias("comp")).limit(0)
-    placed = classes.select("cid", "least", "copies").join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+            settle(_unsettled(rest, buckets, similarity))
+    placed = classes.select("cid", "least", "copies")
+    placed = placed.join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")) if label is not None else placed.withColumn("comp", F.col("cid"))
     first = placed.groupBy("comp").agg(F.min(F.struct("least", "cid")).alias("first"), F.sum("copies").alias("size"))
-    return placed.join(first, "comp").select("cid", "comp", "copies", "first", "size"), rows
+    out = stash(placed.join(first, "comp").select("cid", "comp", "copies", "first", "size"), "groups")
+    discard(*done, classes, label)
+    return out, rows
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -68,7 +68,7 @@ def test_hard_cases(spark):
     assert kept == sorted(set(want.values()))
 
 
-def test_prefix_filter(spark):
+def test_prefix_filter(spark, monkeypatch):
     """Mutated copies of one text near the threshold, of several lengths, some with repeated shingles: every pair that reaches the similarity is a candidate, and few others are."""
     rng = np.random.RandomState(5)
     base, docs = [f"w{x}" for x in rng.randint(0, 10**6, 150)], []
@@ -79,7 +79,14 @@ def test_prefix_filter(spark):
         docs.append(" ".join(text + text[:20] * rng.randint(0, 3)))
     docs += ["a", "a b", "a b c d e", "", "x " * 50, "x " * 60]
     key = [f"{i:05}".encode() for i in range(len(docs))]
-    got = {(bytes(r.cid), bytes(r.rep)) for r in neardup._unsettled(spark.createDataFrame([(k, k, t) for k, t in zip(key, docs, strict=True)], "cid binary, comp binary, text string"), 0.8).collect()}
+    texts = spark.createDataFrame([(k, k, t) for k, t in zip(key, docs, strict=True)], "cid binary, comp binary, text string")
+    bands = neardup.sketch(spark.createDataFrame([(k, t) for k, t in zip(key, docs, strict=True)], "doc_id binary, text string")).selectExpr("doc_id AS cid", "explode(bands) AS b")
+    found = []
+    for most in (neardup.MEMBERS_PER_TASK, 5):  # shingles in many prefixes count with a shared band only, and are dealt over tasks
+        monkeypatch.setattr(neardup, "MEMBERS_PER_TASK", most)
+        found.append({tuple(sorted((bytes(r.cid), bytes(r.rep)))) for r in neardup._unsettled(texts, bands, 0.8).collect()})
+    got = found[0]
+    assert found[1] <= got
     bags = [bag(t) for t in docs]
     want, every = set(), 0
     for i, a in enumerate(bags):
@@ -88,7 +95,23 @@ def test_prefix_filter(spark):
             every += both > 0
             if both and both >= 0.8 * (sum(a.values()) + sum(bags[j].values()) - both):
                 want.add((key[i], key[j]))
-    assert want and want <= got and len(got) < every / 2
+    assert want and want <= found[1] and len(got) < every / 2
+
+
+def test_hubs(spark, monkeypatch):
+    """A node whose edges are dealt over many tasks."""
+    monkeypatch.setattr(neardup, "MEMBERS_PER_TASK", 7)
+    edges = [(50, i) for i in range(100, 160)] + [(i, i + 1) for i in range(200, 220)] + [(220, 50), (7, 8), (8, 9)]
+    got = {r.cid: r.comp for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 50 for i in (50, *range(100, 160), *range(200, 221))}, 7: 7, 8: 7, 9: 7}
+
+
+def test_halves_agree():
+    """Texts of other weights see the same points as far as both reach: a larger weight only adds earlier ones."""
+    element = np.arange(1, 4, dtype=np.uint64) * np.uint64(0x9E3779B9)
+    s = [neardup.signatures(np.zeros(3, np.int64), element, np.array([w, 1, 2]), 1)[0] for w in (3, 5, 8, 13, 64, 100)]
+    for a, b in zip(s, s[1:]):
+        assert (b <= a).all() and (b < a).any() and (a == b).any()
 
 
 def test_agreement_is_weighted_jaccard():
@@ -102,3 +125,9 @@ def test_agreement_is_weighted_jaccard():
         s = neardup.signatures(doc, np.concatenate([element[a > 0], element[b > 0]]), np.concatenate([a[a > 0], b[b > 0]]), 2)
         error.append((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum())
     assert abs(np.mean(error)) < 0.015 and np.std(error) < 0.06
+    for _ in range(40):  # large weights
+        element = rng.randint(0, 2**62, 6).astype(np.uint64)
+        a, b = rng.randint(1, 300, 6), rng.randint(1, 300, 6)
+        s = neardup.signatures(np.repeat([0, 1], 6), np.concatenate([element, element]), np.concatenate([a, b]), 2)
+        error.append((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum())
+    assert abs(np.mean(error[40:])) < 0.015 and np.std(error[40:]) < 0.06
