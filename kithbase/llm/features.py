@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .lexer import Block, mix, per_doc, repeats, salted
 
@@ -78,3 +80,13 @@ def _top_share(b: Block, words: np.ndarray) -> np.ndarray:
         new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]))
         np.maximum.at(top, d[new], np.diff(np.append(new, len(h))))
     return top / words
+
+
+def sampled(docs: DataFrame, labels: DataFrame, wanted: Column, label: str, sample: int) -> DataFrame:
+    """id, text, y of at most `sample` labelled ids of those wanted: a top-k by hash of the id, so it is bounded and may be broadcast; other texts don't move.
+
+    An id with several labels has the largest, one with several texts that of the least hash.
+    """
+    picked = labels.filter(wanted & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("y")).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    own = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "text", "y")
+    return own.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("id", "text", "y")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .features import NAMES, features
+from .features import NAMES, features, sampled
 from .lexer import blocks
 from .store import slim_batches
 
@@ -130,12 +130,8 @@ def fold(doc_id="doc_id"):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """id, text, y of at most `sample` labelled rows outside the held-out fold: a top-k by hash of the id, so it is bounded and may be broadcast; texts don't move."""
-    picked = (
-        labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull() & (fold("id") != 1))
-        .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    )
-    return docs.select(F.col("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "text", "y")
+    """id, text, y of at most `sample` labelled ids outside the held-out fold."""
+    return sampled(docs, labels, F.col(label).isNotNull() & (fold("doc_id") != 1), label, sample)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
@@ -147,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
                 x = features(block)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x[:, j]) for j in range(len(NAMES)))], ["id", "y", *NAMES])
 
-    got = labelled(docs, labels, sample=sample).mapInArrow(rows, "id long, y double, " + ", ".join(f"{n} double" for n in NAMES)).toPandas().sort_values(["id", "y"])
+    own = labelled(docs, labels, sample=sample)
+    got = own.mapInArrow(rows, f"id {own.schema['id'].dataType.simpleString()}, y double, " + ", ".join(f"{n} double" for n in NAMES)).toPandas().sort_values(["id", "y"])
     return fit(got[list(NAMES)].to_numpy(float), got["y"].to_numpy(float))
 
 

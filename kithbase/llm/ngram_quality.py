@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import base_counts, base_failed
+from .features import base_counts, base_failed, sampled
 from .lexer import Block, blocks, mix, per_doc
 from .store import slim_batches
 
@@ -36,7 +36,7 @@ class Regression:
     shift: float
 
     def probability(self, b: Block) -> np.ndarray:
-        """Of a block whose base counts have been taken."""
+        """Of a block whose base counts have been taken: the calibrated logistic of the sum of weights by relative frequency. Texts without n-grams of a family get nothing from it."""
         z = np.full(b.n, self.bias)
         for w, (keys, edges) in zip(self.weights, grams(b), strict=True):
             z += per_doc(w[keys], edges) / np.maximum(np.diff(edges), 1)
@@ -100,7 +100,9 @@ def fit(y: np.ndarray, rows: np.ndarray, places: np.ndarray, values: np.ndarray)
     # Relative frequencies are small; scaling each feature by its root mean square lets plain Adam converge in few steps.
     scale = 1 / np.sqrt(np.bincount(p, v * v, dims) / max(1, (~check).sum()) + 1e-6)
     v *= scale[p]
-    v /= np.sqrt(np.bincount(r, v * v, n) + 1e-9)[r]  # while fitting; undone on average by the calibration
+    # One constant for all rows, so that what is fitted is what scores: the mean square length of a row is 1.
+    length = np.sqrt((v * v).sum() / max(1, (~check).sum()))
+    v /= length
     m1, m2, b1, b2 = np.zeros(dims), np.zeros(dims), 0.0, 0.0
     for t in range(1, STEPS + 1):
         z = np.bincount(r, w[p] * v, n) + bias
@@ -110,7 +112,7 @@ def fit(y: np.ndarray, rows: np.ndarray, places: np.ndarray, values: np.ndarray)
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
         w -= 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
         bias -= 0.05 * (b1 / (1 - 0.9**t)) / (np.sqrt(b2 / (1 - 0.99**t)) + 1e-8)
-    w = w * scale / np.sqrt(len(p) / max(1, n))
+    w = w * scale / length
     z = np.bincount(rows, w[places] * values, n)
     spread = z[~check].std() + 1e-9
     w, z = w / spread, z / spread
@@ -129,11 +131,10 @@ def fit(y: np.ndarray, rows: np.ndarray, places: np.ndarray, values: np.ndarray)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Regression:
-    """Fits on at most `sample` labelled rows; only their hashed features reach the driver."""
+    """Fits on at most `sample` labelled ids, one text each; only their hashed features reach the driver."""
     slim_batches(docs.sparkSession)
-    picked = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    own = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "text", "y")
-    got = own.mapInArrow(_train_rows, "id long, y double, places array<int>, vals array<float>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
+    own = sampled(docs, labels, F.col(label).isNotNull(), label, sample)
+    got = own.mapInArrow(_train_rows, f"id {own.schema['id'].dataType.simpleString()}, y double, places array<int>, vals array<float>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
     flat = lambda c: got.column(c).combine_chunks()
     lists = flat("places")
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
