@@ -10,13 +10,12 @@ nested, so a larger target takes a superset. Nothing is sorted by row.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .store import stash
+from ..plans.sorting import numbered
+from .store import discard, stash
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
@@ -48,15 +47,29 @@ def water_fill(sizes: list[int], weights: list[float], share: float = SHARE, mos
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """From (src, size) rows: src, source_size, target. One row per source goes through the driver, nothing that grows with documents.
+    """From (src, size) rows: src, source_size, target, as water_fill() gives them.
 
     Sources are ordered by code point, null last, and get the weights in turn.
+    A round fixes all sources that reach their cap; only the sums of what is
+    left pass through the driver, so there may be as many sources as rows.
     """
-    spark = sizes.sparkSession
-    rows = sizes.groupBy("src").agg(F.sum("size").alias("source_size")).collect()
-    rows.sort(key=lambda r: (r.src is None, [ord(c) for c in r.src or ""]))
-    target = water_fill([r.source_size for r in rows], [weights[i % len(weights)] for i in range(len(rows))], share, most)
-    return spark.createDataFrame([(r.src, r.source_size, float(t)) for r, t in zip(rows, target, strict=True)], "src string, source_size long, target double")
+    totals = sizes.groupBy("src").agg(F.sum("size").alias("source_size"))
+    placed = numbered(totals.orderBy(F.col("src").isNull(), "src"), "place", 0)
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights)).cast("int"))
+    state = stash(placed.select("src", "source_size", weight.alias("weight"), F.when(F.col("source_size") > 0, F.lit(None)).otherwise(0.0).cast("double").alias("target")), "targets")
+    budget = share * (state.agg(F.sum("source_size")).first()[0] or 0)
+    cap = most * F.col("source_size")
+    while True:
+        free = state.filter("target IS NULL").agg(F.sum("weight")).first()[0]
+        if not free:
+            return state.drop("weight")
+        level = F.col("weight") * F.lit(budget / free)
+        full = F.col("target").isNull() & (level > cap)
+        spent = state.filter(full).agg(F.sum(cap), F.count(F.lit(1))).first()
+        filled = F.when(full, cap) if spent[1] else F.when(F.col("target").isNull(), level)
+        new = stash(state.withColumn("target", F.coalesce("target", filled)), "targets")
+        discard(state)
+        state, budget = new, budget - (spent[0] or 0.0)
 
 
 def _prefix(level: int) -> Column:
@@ -69,30 +82,30 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
     Level by level: sums by (source, next digit) within the boundary bucket
     of the level before. A histogram has at most 4096 rows a source; it is
-    pre-aggregated in each task, so a hot source is no hot key.
+    pre-aggregated in each task, so a hot source is no hot key. The state is a
+    written table, so Spark knows its size and broadcasts it only if it is small.
     """
-    spark = rows.sparkSession
     state = targets.withColumns({"whole": F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(MOST)))).otherwise(0).cast("long")})
     state = state.withColumns({"left": F.col("target") - F.col("whole") * F.col("source_size"), "at": F.lit(0).cast("long")})
-    schema = state.schema
     for level in range(1, LEVELS + 1):
-        inside = rows.join(F.broadcast(state.select(F.col("src").alias("s"), "at")), F.col("src").eqNullSafe(F.col("s")) & (_prefix(level - 1) == F.col("at")))
+        state = stash(state, "thresholds")
+        inside = rows.join(state.select(F.col("src").alias("s"), "at"), F.col("src").eqNullSafe(F.col("s")) & (_prefix(level - 1) == F.col("at")))
         sums = inside.groupBy("src", _prefix(level).alias("digit")).agg(F.sum("size").alias("n"))
         before = F.sum("n").over(W.partitionBy("src").orderBy("digit").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
         # The boundary bucket: the last one whose predecessors fit into what is left of the budget.
         cut = (
-            sums.withColumn("before", before).join(F.broadcast(state.select(F.col("src").alias("s"), "left")), F.col("src").eqNullSafe(F.col("s")))
+            sums.withColumn("before", before).join(state.select(F.col("src").alias("s"), "left"), F.col("src").eqNullSafe(F.col("s")))
             .filter(F.col("before") <= F.col("left")).groupBy("src").agg(F.max_by(F.struct("digit", "before", "n"), "digit").alias("b"))
         )
-        joined = state.join(F.broadcast(cut.withColumnRenamed("src", "s")), F.col("src").eqNullSafe(F.col("s")), "left").select(
+        state = state.join(cut.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s")), "left").select(
             "src", "source_size", "target", "whole",
             F.when(F.col("b").isNull(), F.col("left")).otherwise(F.col("left") - F.col("b.before")).alias("left"),
             F.coalesce(F.col("b.digit"), F.shiftleft("at", BITS)).alias("at"),
         )
-        state = spark.createDataFrame(joined.collect(), schema)  # a row per source
+    state = stash(state, "thresholds")
     # Rows with the very hash `at` are equal rows (or collide): they are taken if that lands nearer to the target.
-    last = rows.join(F.broadcast(state.select(F.col("src").alias("s"), "at")), F.col("src").eqNullSafe(F.col("s")) & (F.col("h") == F.col("at"))).groupBy("src").agg(F.sum("size").alias("n"))
-    return state.join(F.broadcast(last.withColumnRenamed("src", "s")), F.col("src").eqNullSafe(F.col("s")), "left").select(
+    last = rows.join(state.select(F.col("src").alias("s"), "at"), F.col("src").eqNullSafe(F.col("s")) & (F.col("h") == F.col("at"))).groupBy("src").agg(F.sum("size").alias("n"))
+    return state.join(last.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s")), "left").select(
         "src", "source_size", "target", "whole", (F.col("at") + F.when(2 * F.col("left") > F.coalesce("n", F.lit(0)), 1).otherwise(0)).alias("below")
     )
 
@@ -119,7 +132,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     the choice depends on rows alone and not on their order.
     """
     rows = stash(docs.select("doc_id", F.col("source").alias("src"), word_count(F.col("text")).alias("size"), _hash().alias("h")), "mix")
-    plan = F.broadcast(thresholds(rows, source_targets(rows, weights, share, most)))
+    plan = stash(thresholds(rows, source_targets(rows, weights, share, most)), "plan")
     if emit == "counts":
         return rows.join(plan.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (_copies() * F.col("size")).alias("taken"))
     names = docs.columns
