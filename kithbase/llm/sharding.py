@@ -1,24 +1,29 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Groups are the sets of equal texts. Groups of at least a 24*1024th of all
-bytes are items of their own, so there are at most that many. Smaller ones
-are united by hash into as many parcels, each again an indivisible item that
-holds whole groups. The number of items is thus bounded whatever the input
-is, and the packing itself, which is sequential, runs over this bounded list;
-all that touches documents is distributed.
+Groups are the sets of equal texts, each an item of its own. Best fit puts
+equal sizes one after another into the tightest bin for as long as it holds
+them, so all groups of a size are packed at once, and the packing runs over
+the list of distinct sizes with their numbers. D distinct sizes are together
+at least D * D / 2 bytes, so that list has at most the square root of twice
+all bytes: 14 million for 100 TB. Which of the groups of a size goes where is
+settled by their rank among them; all that touches groups or documents is
+distributed.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .store import stash
+from ..plans.sorting import numbered
+from .store import discard, stash
 
-SHARDS, PARCELS_PER_SHARD = 24, 1024
-ROWS_PER_RUN = 50_000
+SHARDS = 24
+#: Rows that are numbered together; groups that have more than so small a part of all rows are known by name (a hundred thousand at most).
+ROWS_PER_RUN, PART = 50_000, 100_000
 
 
 class RemainingTree:
@@ -76,52 +81,85 @@ class RemainingTree:
         return node[0]
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, bins: int | None = None) -> tuple[list[int], int]:
-    """The bin of each size (given in descending order) and how many bins are used.
+Placed = list[list[tuple[int, int]]]
 
-    An item above the capacity gets a bin of its own. With `bins` set, no more
-    bins than that are opened; what fits nowhere gets bin -1.
+
+def best_fit_decreasing(sizes: list[int], capacity: int, bins: int | None = None, counts: list[int] | None = None) -> tuple[Placed | None, int]:
+    """For each size (in descending order) the bins its items go to, with how many go there, and how many bins are used.
+
+    counts: items of each size (one by default). An item above the capacity
+    gets a bin of its own. With `bins` set, no more bins than that are opened;
+    None instead of places if not everything fits.
     """
     tree, out, used = RemainingTree(), [], 0
-    for size in sizes:
-        found = tree.take(size)
-        if found is None:
-            if bins is not None and used >= bins:
-                out.append(-1)
-                continue
-            found, used = (max(capacity, size), used), used + 1
-        out.append(found[1])
-        tree.add((found[0] - size, found[1]))
+    for size, left in zip(sizes, counts or [1] * len(sizes), strict=True):
+        placed = []
+        while left:
+            found = tree.take(size)
+            if found is None:
+                if bins is not None and used >= bins:
+                    return None, used
+                found, used = (max(capacity, size), used), used + 1
+            # As long as an item fits, this bin stays the tightest one that holds it.
+            some = min(left, found[0] // size)
+            placed.append((found[1], some))
+            left -= some
+            tree.add((found[0] - size * some, found[1]))
+        out.append(placed)
     return out, used
 
 
-def pack(sizes: list[int], bins: int) -> list[int]:
-    """Bins 0 to bins - 1 for sizes in descending order.
+def pack(sizes: list[int], bins: int, counts: list[int] | None = None) -> Placed:
+    """For distinct sizes in descending order, with the number of items of each, the bins 0 to bins - 1 they go to and how many go there.
 
     An item of at least a fair part of what is left gets a bin to itself. The
     others are packed best-fit decreasing at the smallest capacity at which
     all fit into the other bins (searched to a 20000th); the smallest
     capacity is what makes the bins nearly equal.
     """
-    rest, single = sum(sizes), 0
-    while single < min(bins - 1, len(sizes)) and sizes[single] * (bins - single) >= rest:
-        rest -= sizes[single]
-        single += 1
-    small, left = sizes[single:], bins - single
+    counts = list(counts or [1] * len(sizes))
+    rest, single, at, out = sum(s * n for s, n in zip(sizes, counts, strict=True)), 0, 0, [[] for _ in sizes]
+    while single < bins - 1 and at < len(sizes) and sizes[at] * (bins - single) >= rest:
+        out[at].append((single, 1))
+        rest, single, counts[at] = rest - sizes[at], single + 1, counts[at] - 1
+        at += counts[at] == 0
+    small, number, left = sizes[at:], counts[at:], bins - single
     if not small:
-        return list(range(single))
+        return out
     low = max(-(-rest // left), small[0]) - 1  # too small
     high, best = low + 1, None
     while best is None or high - low > max(1, high // 20_000):
         middle = high if best is None else (low + high) // 2
-        got, _ = best_fit_decreasing(small, middle, left)
-        if -1 not in got:
+        got, _ = best_fit_decreasing(small, middle, left, number)
+        if got is not None:
             best, high = got, middle
         else:
             low = middle
             if best is None:
                 high = middle + max(1, middle // 1000)
-    return [*range(single), *(single + b for b in best)]
+    for k, placed in enumerate(best, at):
+        out[k] += [(single + b, n) for b, n in placed]
+    return out
+
+
+def _packed(groups: DataFrame, shards: int) -> DataFrame:
+    """g1, g2, shard, n of groups (g1, g2, bytes, n)."""
+    spark = groups.sparkSession
+    sizes = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("items")).orderBy(F.desc("bytes")).toArrow()
+    size, items = sizes["bytes"].to_pylist(), sizes["items"].to_pylist()
+    # Groups are numbered by descending size, then by hash; a size's groups go to its bins in that order.
+    ranked = numbered(groups.orderBy(F.desc("bytes"), "g1", "g2"), "place", 0)
+    plan, start = [], 0
+    for b, n, placed in zip(size, items, pack(size, shards, items), strict=True):
+        ends, upto = [], start
+        for _, k in placed:
+            ends.append(upto := upto + k)
+        plan.append((b, ends, [bin_ for bin_, _ in placed]))
+        start += n
+    # A row for each distinct size; written, so that Spark broadcasts it only if it is small.
+    plan = stash(spark.createDataFrame(plan, "size long, ends array<long>, bins array<int>"), "plan")
+    shard = F.get("bins", F.size(F.filter("ends", lambda e: e <= F.col("place"))))
+    return ranked.join(plan, F.col("bytes") == F.col("size")).select("g1", "g2", shard.alias("shard"), "n")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -132,10 +170,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     shard. A group larger than a shard's fair part has a shard of its own to
     itself as far as possible. Null text counts as empty and groups with it.
     slot numbers the rows of a shard from 0 without gaps; repeated rows get
-    slots of their own. Extra columns are left out. An empty table gives an
-    empty result.
+    slots of their own. Very long texts are rows like others. Extra columns
+    are left out. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = stash(
         docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit("second"), text).alias("g2")),
@@ -143,28 +180,21 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     # Equal texts meet as sums only: each task adds up its copies before the shuffle.
     groups = stash(rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    parcels = shards * PARCELS_PER_SHARD
-    alone = F.col("bytes") * parcels >= total
-    item = F.when(alone, F.struct(F.col("g1").alias("a"), F.col("g2").alias("b"))).otherwise(F.struct(F.pmod("g1", F.lit(parcels)).alias("a"), F.lit(None).cast("long").alias("b")))
-    # At most 2 * parcels items: as many large groups, whose sizes add up to the total at most, and as many parcels.
-    items = groups.groupBy(item.alias("item")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).select("item.*", "bytes", "n").collect()
-    items.sort(key=lambda r: (-r.bytes, r.b is None, r.a, r.b or 0))
-    bins = pack([r.bytes for r in items], shards)
-    # Rows of an item are numbered in runs, so that a hot group is dealt over many tasks.
-    plan = spark.createDataFrame([(r.a, r.b, k, b, max(1, -(-r.n // ROWS_PER_RUN))) for k, (r, b) in enumerate(zip(items, bins, strict=True))], "a long, b long, item int, shard int, runs long")
-    large, small = plan.filter("b is not null"), plan.filter("b is null").select(F.col("a").alias("p"), F.struct("item", "shard", "runs").alias("small"))
-    placed = (
-        rows.join(F.broadcast(large.select("a", "b", F.struct("item", "shard", "runs").alias("large"))), (F.col("g1") == F.col("a")) & (F.col("g2") == F.col("b")), "left")
-        .join(F.broadcast(small), F.col("large").isNull() & (F.pmod("g1", F.lit(parcels)) == F.col("p")), "left")
-        .withColumn("plan", F.coalesce("large", "small"))
-        .select("doc_id", "size", "text_crc32", "g1", "g2", "plan.*")
-        .withColumn("run", F.pmod(F.xxhash64("doc_id"), F.col("runs")))
-    )
-    counts = placed.groupBy("shard", "item", "run").agg(F.count(F.lit(1)).alias("n"))
-    by_item = counts.groupBy("shard", "item").agg(F.sum("n").alias("m"))
-    start_item = by_item.withColumn("base", F.sum("m").over(W.partitionBy("shard").orderBy("item")) - F.col("m")).select("item", "base")
-    starts = counts.join(F.broadcast(start_item), "item").select("item", "run", (F.col("base") + F.sum("n").over(W.partitionBy("item").orderBy("run")) - F.col("n")).alias("start"))
-    within = F.row_number().over(W.partitionBy("item", "run").orderBy("doc_id", "g1", "g2")) - 1
-    numbered = placed.withColumn("within", within).join(starts, ["item", "run"])
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("within")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.hex("g1").alias("group"))
+    placed = stash(_packed(groups, shards), "placed")
+    per_shard = {r.shard: r.n for r in placed.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    # Rows of frequent texts find their shard by a broadcast, so no key of the other join is hot.
+    most = sum(per_shard.values())
+    frequent = placed.filter(F.col("n") * PART > most).select(F.col("g1").alias("h1"), F.col("g2").alias("h2"), F.col("shard").alias("known"))
+    marked = rows.join(F.broadcast(frequent), (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")), "left").drop("h1", "h2")
+    own = ["doc_id", "size", "text_crc32", "g1", "g2", "shard"]
+    rest = marked.filter("known IS NULL").drop("known").join(placed.filter(F.col("n") * PART <= most).select("g1", "g2", "shard"), ["g1", "g2"])
+    homes = marked.filter("known IS NOT NULL").withColumnRenamed("known", "shard").select(own).union(rest.select(own))
+    # The rows of a shard are numbered in runs, dealt by hash, so that no task has a whole shard.
+    runs = F.array(*[F.lit(max(1, -(-per_shard.get(s, 0) // ROWS_PER_RUN))) for s in range(shards)])
+    homes = stash(homes.withColumn("run", F.pmod(F.xxhash64("doc_id", "g1", F.lit(6)), F.get(runs, F.col("shard"))).cast("int")), "homes")
+    counts = homes.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("m"))
+    starts = stash(counts.select("shard", "run", (F.sum("m").over(W.partitionBy("shard").orderBy("run")) - F.col("m")).alias("start")), "starts")
+    discard(rows, groups, placed)
+    within = F.row_number().over(W.partitionBy("shard", "run").orderBy("doc_id", "g1", "g2")) - 1
+    out = homes.withColumn("within", within).join(starts, ["shard", "run"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("within")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.hex("g1").alias("group"))

@@ -198,30 +198,44 @@ def test_mixing(spark):
     assert counts == {r.doc_id: r.taken // r.size for r in got if r.taken}
 
 
+def by_scan(sizes, capacity):
+    """Best-fit decreasing by looking through all bins, for one item after another."""
+    free, out = [], []
+    for s in sizes:
+        fit = [(f, i) for i, f in enumerate(free) if f >= s]
+        i = min(fit)[1] if fit else len(free)
+        if not fit:
+            free.append(max(capacity, s))
+        free[i] -= s
+        out.append(i)
+    return out, len(free)
+
+
+def one_by_one(placed):
+    return [b for row in placed for b, n in row for _ in range(n)]
+
+
 def test_packing():
     rng = np.random.RandomState(5)
     for sizes in ([], [5], [7] * 48, [1000, 1, 1, 1], rng.randint(1, 1000, 3000).tolist(), [10**6, *rng.randint(1, 1000, 3000).tolist()]):
         sizes = sorted(sizes, reverse=True)
-        bins = sharding.pack(sizes, 24)
+        distinct = sorted(set(sizes), reverse=True)
+        bins = one_by_one(sharding.pack(distinct, 24, [sizes.count(s) for s in distinct]))
         load = np.bincount(bins, sizes, 24) if sizes else np.zeros(24)
         assert len(bins) == len(sizes) and all(0 <= b < 24 for b in bins)
         if len(sizes) > 1000:
             rest = np.sort(load)[: -1 if sizes[0] > 1000 else None]
             assert rest.max() - rest.min() <= 0.01 * rest.mean()
-    # best fit decreasing by brute force
-    sizes = sorted(rng.randint(1, 60, 400).tolist(), reverse=True)
-    free, want = [], []
-    for s in sizes:
-        fit = [(f, i) for i, f in enumerate(free) if f >= s]
-        i = min(fit)[1] if fit else len(free)
-        if not fit:
-            free.append(100)
-        free[i] -= s
-        want.append(i)
-    assert sharding.best_fit_decreasing(sizes, 100) == (want, len(free))
+    # all items of a size at once, as one after another by scan
+    for _ in range(20):
+        sizes = sorted(rng.randint(1, 60, 400).tolist(), reverse=True)
+        distinct = sorted(set(sizes), reverse=True)
+        placed, used = sharding.best_fit_decreasing(distinct, 100, None, [sizes.count(s) for s in distinct])
+        assert (one_by_one(placed), used) == by_scan(sizes, 100)
+    assert sharding.best_fit_decreasing([5, 5], 5, 1) == (None, 1)
 
 
-def test_shards(spark, docs):
+def test_shards(spark, docs, monkeypatch):
     rows = sharding.shard(docs).collect()
     for s in {r.shard for r in rows}:
         own = [r for r in rows if r.shard == s]
@@ -231,6 +245,36 @@ def test_shards(spark, docs):
     assert all(by[i].size == len((t or "").encode()) + 8 and by[i].text_crc32 == zlib.crc32((t or "").encode()) for i, t in enumerate(TEXTS))
 
 
+def test_shards_by_hand(spark, monkeypatch):
+    """Every group lies where packing all groups one after another puts it; runs and frequent groups of any size."""
+    rng = np.random.RandomState(6)
+    texts = ["x" * n for n in rng.randint(0, 90, 400)] + ["copies"] * 500
+    df = spark.createDataFrame([(i, f"{t}{i % 3}" if t != "copies" else t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    text = {r.doc_id: r.text for r in df.collect()}
+    results = []
+    for run, part in ((50_000, 100_000), (7, 4)):
+        monkeypatch.setattr(sharding, "ROWS_PER_RUN", run)
+        monkeypatch.setattr(sharding, "PART", part)
+        results.append(sharding.shard(df, 5).collect())
+    for rows in results:
+        for s in range(5):
+            own = [r for r in rows if r.shard == s]
+            assert sorted(r.slot for r in own) == list(range(len(own)))
+    assert {r.doc_id: r.shard for r in results[0]} == {r.doc_id: r.shard for r in results[1]}
+    signed = lambda h: int(h, 16) - (1 << 64) * (int(h, 16) >> 63)
+    groups = {}
+    for r in results[0]:
+        assert groups.setdefault(r.group, [0, r.shard, text[r.doc_id]])[1:] == [r.shard, text[r.doc_id]]
+        groups[r.group][0] += r.size
+    order = sorted(groups, key=lambda g: (-groups[g][0], signed(g)))
+    sizes = [groups[g][0] for g in order]
+    assert sizes[0] * 5 >= sum(sizes) and groups[order[0]][1] == 0 and sum(groups[g][1] == 0 for g in order) == 1
+    # the other four: the same as a scan at the capacity that was found
+    load = np.bincount([groups[g][1] for g in order], sizes)
+    fitting = [c for c in range(int(load[1:].max()), int(load[1:].max()) + 60) if [b + 1 for b in by_scan(sizes[1:], c)[0]] == [groups[g][1] for g in order[1:]]]
+    assert fitting and load[1:].max() - load[1:].min() <= 60
+
+
 def test_fingerprints(spark, docs):
     rows = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     found = merkle.fingerprints(rows)
