@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .lexer import bytes_of, texts
 from .store import slim_batches
@@ -74,14 +75,16 @@ def assemble(roles: pa.Array, contents: pa.Array, parts: np.ndarray) -> tuple[pa
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, part, n_turns, formatted, loss of turns (conv_id, turn, role, text).
+    """conv_id, part, n_turns, formatted, loss, whole of turns (conv_id, turn, role, text).
 
     Rows are ordered by turn (null first), rows of the same turn by a hash of
     role and text; repeated rows all stay. loss lists begin and end, in code
     points of the part, of the (escaped) text of each assistant turn. Null
     texts and roles count as empty; rows without a conv_id form one
-    conversation. Parts of a conversation follow one another by part. Extra
-    columns are left out; an empty table gives an empty result.
+    conversation. Parts of a conversation follow one another by part; whole
+    says of a part that it surely is all of its conversation. Very long texts
+    are rows like others. Extra columns are left out; ids may be of any type;
+    an empty table gives an empty result.
 
     Rows are dealt by ranges of (conv_id, turn), so that a conversation with
     a third of all rows spreads over many tasks.
@@ -96,18 +99,19 @@ def format_conversations(turns: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             conv, roles, contents = batch.column(0), texts(batch.column(2)), texts(batch.column(3))
-            ids, null = np.asarray(pc.fill_null(conv, 0)), np.asarray(conv.is_null())
-            change = np.flatnonzero((ids[1:] != ids[:-1]) | (null[1:] != null[:-1])) + 1
-            starts = [0, *change.tolist(), len(ids)]
+            ids = np.asarray(pc.dictionary_encode(conv, null_encoding="encode").indices)
+            starts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
             parts = np.array([k for a, b in zip(starts[:-1], starts[1:], strict=True) for k in range(a, b, PART_TURNS)] + [len(ids)])
+            # What stands at an end of the batch may go on beyond it.
+            whole = np.isin(parts[:-1], starts[1:-2]) & np.isin(parts[1:], starts[2:-1])
             formatted, begin, end = assemble(roles, contents, parts)
             spoken = np.asarray(pc.equal(roles, "assistant"))
             count = np.concatenate([[0], np.cumsum(spoken)])[parts].astype(np.int32)
             loss = pa.ListArray.from_arrays(pa.array(count), pa.StructArray.from_arrays([pa.array(begin[spoken]), pa.array(end[spoken])], ["begin", "end"]))
-            yield pa.RecordBatch.from_arrays([conv.take(pa.array(parts[:-1])), pa.array(number + np.arange(len(parts) - 1)), pa.array(np.diff(parts)), formatted, loss], ["conv_id", "part", "n_turns", "formatted", "loss"])
+            yield pa.RecordBatch.from_arrays([conv.take(pa.array(parts[:-1])), pa.array(number + np.arange(len(parts) - 1)), pa.array(np.diff(parts)), formatted, loss, pa.array(whole)], ["conv_id", "part", "n_turns", "formatted", "loss", "whole"])
             number += len(parts) - 1
 
-    return dealt.mapInArrow(run, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, part long, n_turns long, formatted string, loss array<struct<begin:long,end:long>>")
+    return dealt.mapInArrow(run, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, part long, n_turns long, formatted string, loss array<struct<begin:long,end:long>>, whole boolean")
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -119,41 +123,74 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+NAMES = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+KINDS = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+
+
+class Digest:
+    """What is read back from the parts of one conversation, one after another."""
+
+    def __init__(self):
+        self.turns, self.chars, self.length, self.all, self.loss = 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, text: str, loss: list[dict]) -> None:
+        for role, content in read_back(text):
+            self.turns += 1
+            self.all.update(f"{role}\n{content}\n".encode())
+        for span in loss:
+            learned = unescape(text[span["begin"] : span["end"]])
+            self.chars += len(learned)
+            self.loss.update(learned.encode())
+        self.length += len(text)
+
+    def row(self) -> tuple:
+        return self.turns, self.all.hexdigest(), self.chars, self.loss.hexdigest(), self.length
+
+
+def _table(columns: list, names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(KINDS), KINDS, strict=True))], [*names, *NAMES])
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from format_conversations().
 
-    The parts of a conversation pass through one task in order, one at a
-    time; a digest of a sequence can't be had otherwise. Nothing is gathered.
+    A conversation that is one part is read where it lies, and only what was
+    read moves on. The parts of the others pass through one task in order, one
+    at a time; a digest of a sequence can't be had otherwise. Nothing is
+    gathered.
     """
-    own = formatted.select("conv_id", "part", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part")
-
-    def run(batches):
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        done, now, state = [], None, None
-
-        def close():
-            if state:
-                done.append([now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]])
+    own = formatted.select("conv_id", "part", "formatted", "loss", "whole")
+    fields = [*own.schema.fields[:4], *(StructField(n, LongType() if pa.types.is_int64(k) else StringType()) for n, k in zip(NAMES, KINDS, strict=True))]
 
+    def at_once(batches):
+        for batch in batches:
+            rows, keep = [], np.asarray(pc.invert(batch.column(4)))
+            for text, loss, whole in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                digest = Digest()
+                if whole:
+                    digest.add(text, loss)
+                rows.append(digest.row() if whole else (None,) * len(KINDS))
+            blank = [pc.if_else(pa.array(keep), batch.column(2), pa.scalar(None, batch.column(2).type)), pa.array([x if k else None for x, k in zip(batch.column(3).to_pylist(), keep, strict=True)], batch.column(3).type)]
+            yield _table([batch.column(0), batch.column(1), *blank], ["conv_id", "part", "formatted", "loss"], rows)
+
+    def in_order(batches):
+        now, state, kind = None, None, None
         for batch in batches:
-            for conv, text, loss in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            kind, ids, rows = batch.schema.field(0).type, [], []
+            for conv, text, loss, *known in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, *range(4, 9))), strict=True):
+                if known[0] is not None:
+                    ids.append(conv)
+                    rows.append(tuple(known))
+                    continue
                 if state is None or conv != now:
-                    close()
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, content in read_back(text):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{content}\n".encode())
-                for span in loss:
-                    learned = unescape(text[span["begin"] : span["end"]])
-                    state[2] += len(learned)
-                    state[3].update(learned.encode())
-                state[4] += len(text)
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()], strict=True)], names)
-                done = []
-            kind = batch.schema.field(0).type
-        close()
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()], strict=True)], names)
-
-    return own.mapInArrow(run, f"conv_id {own.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+                    if state is not None:
+                        ids.append(now)
+                        rows.append(state.row())
+                    now, state = conv, Digest()
+                state.add(text, loss)
+            yield _table([pa.array(ids, kind)], ["conv_id"], rows)
+        if state is not None:
+            yield _table([pa.array([now], kind)], ["conv_id"], [state.row()])
+
+    read = own.mapInArrow(at_once, StructType(fields))
+    return read.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(in_order, StructType([fields[0], *fields[4:]]))

@@ -99,6 +99,12 @@ def test_chat(spark):
         assert (got[k].n_turns, got[k].loss_chars, got[k].loss_sha256) == (len(turns), len(said), hashlib.sha256(said.encode()).hexdigest())
         assert got[k].formatted_chars == sum(len(p.formatted) for p in parts if p.conv_id == k)
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+    # ids that are texts, columns that clash, and one task that has all rows
+    named = df.selectExpr("CASE WHEN conv_id IS NOT NULL THEN 'c' || conv_id END AS conv_id", "turn", "role", "text", "1 AS h", "2 AS part", "3 AS whole").coalesce(1)
+    again = {r.conv_id: tuple(r)[1:] for r in chat.digests(chat.format_conversations(named)).collect()}
+    assert again == {None if k is None else f"c{k}": tuple(r)[1:] for k, r in got.items()}
+    wholes = chat.format_conversations(spark.createDataFrame([(i // 2, i % 2, "user", "t" * i) for i in range(200)], "conv_id long, turn long, role string, text string").coalesce(1)).collect()
+    assert sum(p.whole for p in wholes) >= 90 and all(p.n_turns == 2 for p in wholes if p.whole)
 
 
 def words(t):
