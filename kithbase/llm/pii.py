@@ -418,6 +418,8 @@ def find(field: Field, batch: list[str]) -> list[tuple[list, list]]:
                     starts.append(a)
                     ends.append(b)
             for start, kind, end in got:
+                while end > start and text[end - 1].isspace():
+                    end -= 1
                 near = bisect_right(ends, start)
                 if bears(KINDS[kind], text[start:end]) and (near == len(starts) or starts[near] >= end):
                     every.append((start, kind, end))
