@@ -31,7 +31,7 @@ SECTION = 8
 #: Hexadecimal digits of the digests of leaves and sections, of the root, and of pieces.
 DIGEST, ROOT, PIECE_DIGITS = 32, 64, 8
 #: Rows between two cuts of the order of ids; cuts of a range at a level; levels.
-ROWS_PER_RANGE, FANOUT, LEVELS = 4_000, 256, 3
+ROWS_PER_RANGE, FANOUT, LEVELS = 2_000, 256, 3
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -143,15 +143,19 @@ def _ranged(rows: DataFrame, key: DataFrame) -> DataFrame:
     before it, 65536 at most, which bounds what is broadcast.
     """
     wanted = max(1, key.count() // ROWS_PER_RANGE)
-    out, path = rows.withColumn("range", F.lit(0).cast("long")), key.withColumn("range", F.lit(0).cast("long"))
-    for _ in range(LEVELS):
+    quantiles = lambda parts: F.array_distinct(F.percentile_approx("key", [i / parts for i in range(1, parts)], 20 * parts))
+    below = lambda cuts: F.size(F.filter(cuts, lambda x: x <= F.col("key"))).cast("long")
+    parts = min(FANOUT, wanted)
+    # The first cuts, FANOUT at most, stand in the plan.
+    first = key.agg(quantiles(parts)).first()[0] if parts > 1 else None
+    out, path = (df.withColumn("range", below(F.array(*map(F.lit, first))) if first else F.lit(0).cast("long")) for df in (rows, key))
+    for _ in range(1, LEVELS):
+        wanted = -(-wanted // parts)
         if wanted <= 1:
             break
         parts = min(FANOUT, wanted)
-        quantiles = F.percentile_approx("key", [i / parts for i in range(1, parts)], 20 * parts)
-        cuts = F.broadcast(stash(path.groupBy(F.col("range").alias("before")).agg(F.array_distinct(quantiles).alias("cuts")), "cuts"))
-        into = lambda df: df.join(cuts, F.col("range") == F.col("before")).withColumn("range", F.col("range") * FANOUT + F.size(F.filter("cuts", lambda x: x <= F.col("key")))).drop("before", "cuts")  # noqa: B023, E731
-        out, path, wanted = into(out), into(path), -(-wanted // parts)
+        cuts = F.broadcast(stash(path.groupBy(F.col("range").alias("before")).agg(quantiles(parts).alias("cuts")), "cuts"))
+        out, path = (df.join(cuts, F.col("range") == F.col("before")).withColumn("range", F.col("range") * FANOUT + below("cuts")).drop("before", "cuts") for df in (out, path))
     return out
 
 
