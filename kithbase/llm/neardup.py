@@ -20,9 +20,8 @@ Links join components; a bucket is done when all its members are in one.
 What is then unsettled (texts that share a long passage with many others, say)
 is settled exactly by a prefix filter: two texts of that similarity must share
 a shingle among the fifth of their weight that comes first, the rarest first,
-so passages that many share bring no candidates. A shingle that stands there
-in many texts counts only together with a band that both share. So no bucket's
-pairs are all made, and no link that joins two components is missed.
+so passages that many share bring no candidates. So no bucket's pairs are all
+made, and no link that joins two components is missed.
 """
 
 from __future__ import annotations
@@ -43,6 +42,8 @@ SLOTS = BANDS * ROWS
 UNIT = 40  # times are integers, in 2**-40
 NEVER = np.uint64(2**64 - 1)
 MEMBERS_PER_TASK = 1000
+#: Classes with more than so small a part of all rows are known by name (a hundred thousand at most).
+PART = 100_000
 #: Rounds of representatives; and how many of the most frequent shingles of unsettled texts are known by name.
 ROUNDS, COMMON = 2, 200_000
 
@@ -281,8 +282,8 @@ def _bags(df: DataFrame, rows, schema: str) -> DataFrame:
     return df.select("cid", "comp", "text").mapInArrow(run, schema)
 
 
-def _unsettled(texts: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
-    """cid, rep: the pairs of different components among the texts (cid, comp, text) that can reach the similarity. buckets: cid, b of their bands.
+def _unsettled(texts: DataFrame, similarity: float) -> DataFrame:
+    """cid, rep: the pairs of different components among the texts (cid, comp, text) that can reach the similarity.
 
     Shingles are put into one order: those not known as common by their hash,
     then the common ones by frequency. If two texts share no shingle of their
@@ -323,22 +324,19 @@ def _unsettled(texts: DataFrame, buckets: DataFrame, similarity: float) -> DataF
         return pa.RecordBatch.from_arrays([pa.array(s[use].view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(size), pa.array(size - before[use])], ["s", "cid", "comp", "size", "left"])
 
     rows = _bags(texts, prefixes, "s long, cid binary, comp binary, size long, left long")
-    shared = rows.groupBy("s").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most").select("s", "n")
-    rows = stash(rows.join(shared, "s"), "prefixes")
-    # A shingle in many prefixes counts only together with a shared band: two texts of that similarity share both.
-    narrow = rows.filter(F.col("n") > MEMBERS_PER_TASK).join(buckets.select("cid", "b"), "cid")
-    rows = stash(rows.filter(F.col("n") <= MEMBERS_PER_TASK).select("*", F.lit(None).cast("long").alias("b")).unionByName(narrow), "prefixes")
-    # Any key that many texts still share is dealt over several tasks.
-    dealt = rows.groupBy("s", "b").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(F.count(F.lit(1)) / MEMBERS_PER_TASK).cast("int").alias("tasks")).filter("least <> most")
-    key = lambda x, y: (x["s"] == y["s"]) & x["b"].eqNullSafe(y["b"])
-    keyed = stash(rows.drop("n").alias("x").join(dealt.select("s", "b", "tasks").alias("y"), key({c: F.col(f"x.{c}") for c in "sb"}, {c: F.col(f"y.{c}") for c in "sb"})).select("x.*", "tasks"), "keyed")
+    shared = rows.groupBy("s").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("s")
+    # Sizes of a pair differ by the factor of the similarity at most, so their bands (a little wider) are the same or neighbours.
+    band = F.floor(F.log(F.col("size").cast("double")) / (-np.log(similarity) * 1.001)).cast("int")
+    rows = stash(rows.join(shared, "s", "left_semi").withColumn("band", band), "prefixes")
     part = similarity / (1 + similarity)
-    small = keyed.filter(F.col("left") >= 2 * part * F.col("size") - 1e-6).select(F.col("s").alias("small_s"), F.col("b").alias("small_b"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("small_task"), *[F.col(c).alias(f"small_{c}") for c in ("cid", "comp", "size", "left")])
-    large = keyed.withColumn("task", F.pmod(F.xxhash64("cid"), F.col("tasks")).cast("int"))
+    # A key that many texts share is dealt over several tasks, each with all of the smaller texts and some of the others.
+    tasks = stash(rows.groupBy("s", "band").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_TASK).cast("int").alias("tasks")), "tasks")
+    large = rows.join(tasks, ["s", "band"]).withColumn("task", F.pmod(F.xxhash64("cid"), F.col("tasks")).cast("int")).drop("tasks")
+    small = rows.filter(F.col("left") >= 2 * part * F.col("size") - 1e-6).select("s", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"small_{c}") for c in ("cid", "comp", "size", "left")])
+    small = small.join(tasks, ["s", "band"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
     ordered = (F.col("small_size") < F.col("size")) | ((F.col("small_size") == F.col("size")) & (F.col("small_cid") < F.col("cid")))
     enough = F.least("left", "small_left") >= part * (F.col("size") + F.col("small_size")) - 1e-6
-    same = (F.col("s") == F.col("small_s")) & F.col("b").eqNullSafe(F.col("small_b")) & (F.col("task") == F.col("small_task"))
-    pairs = stash(large.join(small, same).filter(ordered & enough & (F.col("comp") != F.col("small_comp"))).select("cid", F.col("small_cid").alias("rep")).distinct(), "candidates")
+    pairs = stash(large.join(small, ["s", "band", "task"]).filter(ordered & enough & (F.col("comp") != F.col("small_comp"))).select("cid", F.col("small_cid").alias("rep")).distinct(), "candidates")
     degree = pairs.select("cid").union(pairs.select("rep")).groupBy("cid").agg(F.count(F.lit(1)).alias("degree"))
     return _oriented(pairs.join(degree, "cid").join(degree.select(F.col("cid").alias("rep"), F.col("degree").alias("rep_degree")), "rep"))
 
@@ -399,11 +397,11 @@ def group(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
         used = reps.select("b", "rep") if used is None else used.union(reps.select("b", "rep"))
         settle(_oriented(members.join(reps, "b").filter(F.col("comp") != F.col("rep_comp"))))
     else:
-        buckets = stash(_open(members.select("b", "cid", "degree"), label).select("b", "cid", "comp"), "open")
-        rest = stash(payload.join(buckets.select("cid", "comp").distinct(), "cid"), "unsettled")
-        done += [buckets, rest]
+        rest = _open(members.select("b", "cid", "degree"), label).select("cid", "comp").distinct()
+        rest = stash(payload.join(rest, "cid"), "unsettled")
+        done.append(rest)
         if not rest.isEmpty():
-            settle(_unsettled(rest, buckets, similarity))
+            settle(_unsettled(rest, similarity))
     placed = classes.select("cid", "least", "copies")
     placed = placed.join(label, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")) if label is not None else placed.withColumn("comp", F.col("cid"))
     first = placed.groupBy("comp").agg(F.min(F.struct("least", "cid")).alias("first"), F.sum("copies").alias("size"))
@@ -422,7 +420,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     columns are left out; an empty table gives an empty result.
     """
     classes, rows = group(docs, similarity)
-    return rows.select("doc_id", "cid").join(classes, "cid").select("doc_id", F.col("first.least").alias("class_id"), F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("first.least")).alias("kept"))
+    # Rows of frequent texts find their class by a broadcast of PART rows at most, so no key of the other join is hot.
+    most = classes.agg(F.sum("copies")).first()[0] or 0
+    frequent, own = F.broadcast(classes.filter(F.col("copies") * PART > most)), rows.select("doc_id", "cid")
+    rest = own.join(F.broadcast(classes.filter(F.col("copies") * PART > most).select("cid")), "cid", "left_anti").join(classes.filter(F.col("copies") * PART <= most), "cid")
+    return own.join(frequent, "cid").unionByName(rest).select("doc_id", F.col("first.least").alias("class_id"), F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("first.least")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
