@@ -146,6 +146,28 @@ def _home(cv, bv, bw, total: int, shards: int) -> np.ndarray:
 # --- pairs and triples -------------------------------------------------------------------------------------------
 
 
+def packed(pair: np.ndarray, third: np.ndarray, count: np.ndarray) -> bytes:
+    """Sorted distinct n-grams with counts in few bytes: each level once, first words as differences, byte planes compressed."""
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    key = pair[first]
+    v = (key >> np.uint64(32)).astype(np.uint32)
+    start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    levels = [np.diff(v[start], prepend=np.uint32(0)), np.diff(np.append(start, len(v))), key & np.uint64(0xFFFFFFFF), np.diff(np.append(first, len(pair))), third, count]
+    planes = np.concatenate([np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel() for x in levels])
+    sizes = np.array([len(start), len(key), len(pair)], "<u4").tobytes()
+    return sizes + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = np.frombuffer(blob[:12], "<u4").astype(np.int64)
+    sizes = n[[0, 0, 1, 1, 2, 2]]
+    planes = np.frombuffer(pa.Codec("zstd", 1).decompress(blob[12:], int(sizes.sum()) * 4, asbytes=True), np.uint8)
+    ends = np.cumsum(sizes) * 4
+    levels = [np.ascontiguousarray(planes[e - 4 * k : e].reshape(4, -1).T).ravel().view("<u4") for k, e in zip(sizes, ends, strict=True)]
+    v = np.repeat(np.cumsum(levels[0], dtype=np.uint64), levels[1])
+    return np.repeat(v << np.uint64(32) | levels[2].astype(np.uint64), levels[3]), levels[4], levels[5]
+
+
 def _ngram_counts(words: Words):
     def emit(parts):
         pair, third, home = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -155,9 +177,9 @@ def _ngram_counts(words: Words):
         count = np.diff(np.append(first, len(pair))).astype(np.uint32)
         pair, third, home = pair[first], third[first], home[first]
         cut = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]]))
-        raw = [(int(home[a]), pair[a:z].tobytes(), third[a:z].tobytes(), count[a:z].tobytes()) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+        raw = [(int(home[a]), packed(pair[a:z], third[a:z], count[a:z])) for a, z in zip(cut[:-1], cut[1:], strict=True)]
         for k in range(0, len(raw), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*raw[k : k + 64], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*raw[k : k + 64], strict=True), (pa.int32(), pa.binary()), strict=True)], ["shard", "a"])
 
     def rows(batches):
         held: list = []
@@ -264,7 +286,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[str, dict]:
 
     def build(batches):
         for s, held in _by_shard(batches):
-            pair, third, count = (np.concatenate([np.frombuffer(x[k], t) for x in held]) for k, t in enumerate((np.uint64, np.uint32, np.uint32)))
+            pair, third, count = (np.concatenate(x) for x in zip(*(unpacked(blob) for (blob,) in held), strict=True))
             order = np.lexsort((third, pair))
             pair, third, count = pair[order], third[order], count[order].astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (third[1:] != third[:-1])]))
@@ -273,7 +295,7 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[str, dict]:
             write(f"{base}/counts-{s}", counts)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (s, *(int((counts[k] == n).sum()) for k in ("c2", "c3") for n in (1, 2)))], ["shard", "p1", "p2", "t1", "t2"])
 
-    built = own.mapInArrow(_ngram_counts(words), "shard int, a binary, b binary, c binary").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, p1 long, p2 long, t1 long, t2 long").collect()
+    built = own.mapInArrow(_ngram_counts(words), "shard int, a binary").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, p1 long, p2 long, t1 long, t2 long").collect()
     # The discounts are those of the whole corpus, however many shards there are.
     d2, d3 = (discount(sum(r[f"{k}1"] for r in built), sum(r[f"{k}2"] for r in built)) for k in "pt")
 

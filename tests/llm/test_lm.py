@@ -45,6 +45,14 @@ def test_levels():
     assert level.find(lo, hi, base, value).tolist() == want
 
 
+def test_packed():
+    rng = np.random.RandomState(9)
+    pair = np.sort(rng.randint(0, 2**20, 5000).astype(np.uint64) << np.uint64(32) | rng.randint(0, 50, 5000).astype(np.uint64))
+    third, count = rng.randint(0, 2**32, 5000, dtype=np.uint64).astype(np.uint32), rng.randint(1, 2**31, 5000).astype(np.uint32)
+    for n in (1, 2, 5000):
+        assert all((x[:n] == y).all() and len(y) == n for x, y in zip((pair, third, count), lm.unpacked(lm.packed(pair[:n], third[:n], count[:n]))))
+
+
 def test_files(tmp_path, monkeypatch):
     """Files beyond the bounds are closed, the ones used last stay."""
     from kithbase.llm import eliasfano
