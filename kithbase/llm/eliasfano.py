@@ -14,10 +14,10 @@ U64 = np.uint64
 
 
 class EliasFano:
-    """A rising sequence: the low bits of each value packed, the high bits in unary; with the count of ones before each word."""
+    """A rising sequence: the low bits of each value packed, the high bits in unary; with the counts of ones and of zeros before each word."""
 
-    def __init__(self, n: int, low_bits: int, top: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.l, self.top, self.low, self.high, self.ones = n, low_bits, top, low, high, ones
+    def __init__(self, n: int, low_bits: int, top: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.l, self.top, self.low, self.high, self.ones, self.zeros = n, low_bits, top, low, high, ones, zeros
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -37,7 +37,7 @@ class EliasFano:
         upper[(values >> U64(l)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(upper, bitorder="little").view(U64)
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]).astype(np.uint32)
-        return cls(n, l, top, low.view(U64), high, ones)
+        return cls(n, l, top, low.view(U64), high, ones, (np.arange(len(ones)) * 64 - ones).astype(np.uint32))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -49,8 +49,8 @@ class EliasFano:
 
     def _select(self, rank: np.ndarray, one: bool) -> np.ndarray:
         """Position of the rank-th one (or zero), from 0."""
-        before = self.ones.astype(np.int64) if one else np.arange(len(self.ones)) * 64 - self.ones
-        word = np.searchsorted(before, rank, "right") - 1
+        before = self.ones if one else self.zeros  # as they are: a copy would cost more than the look-ups of a small batch
+        word = np.searchsorted(before, rank.astype(np.uint32), "right") - 1
         left = rank - before[word]
         bits = self.high[word] if one else ~self.high[word]
         at = np.zeros(len(rank), np.int64)
@@ -92,12 +92,12 @@ class EliasFano:
         return out
 
     def parts(self, name: str) -> dict[str, np.ndarray]:
-        return {f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ones": self.ones, f"{name}.meta": np.array([self.n, self.l, self.top], np.int64)}
+        return {f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ones": self.ones, f"{name}.zeros": self.zeros, f"{name}.meta": np.array([self.n, self.l, self.top], np.int64)}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray], name: str) -> EliasFano:
         n, l, top = arrays[f"{name}.meta"]  # noqa: E741
-        return cls(int(n), int(l), int(top), arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.ones"])
+        return cls(int(n), int(l), int(top), arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.ones"], arrays[f"{name}.zeros"])
 
 
 class Level:
