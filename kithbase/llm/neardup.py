@@ -374,8 +374,10 @@ def group(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     rows = stash(sketch(docs), "sketch")
     classes = stash(rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "classes")
     members = every = stash(_shared(classes), "members")
-    texts = docs.select(_cid().alias("cid"), F.coalesce("text", F.lit("")).alias("text"))
-    payload = stash(texts.join(members.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "payload")
+    # Of each class one row, picked by class and id, so that the copies of a text don't meet in one task.
+    picked = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", F.xxhash64("cid", "least").alias("k"))
+    texts = docs.select(_cid().alias("cid"), F.coalesce("text", F.lit("")).alias("text"), "doc_id").select("cid", F.xxhash64("cid", "doc_id").alias("k"), "text")
+    payload = stash(texts.join(picked, ["cid", "k"], "left_semi").dropDuplicates(["cid", "k"]).select("cid", "text"), "payload")
     known = used = label = None
     done = [every, payload]
 
