@@ -246,8 +246,11 @@ def verify(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     _oriented(), so what meets many others is the representative, and a
     member's text goes to its few representatives.
     """
-    spans = pairs.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_TASK).cast("int").alias("tasks"))
-    dealt = pairs.join(spans, "rep").withColumn("task", F.pmod(F.xxhash64("cid"), F.col("tasks")).cast("int"))
+    pairs = stash(pairs, "pairs")
+    spans = stash(pairs.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_TASK).cast("int").alias("tasks")), "spans")
+    # Only those with several tasks are looked up, a thousandth of the pairs at most; a small written table is broadcast.
+    several = stash(spans.filter("tasks > 1"), "several")
+    dealt = pairs.join(several, "rep", "left").withColumn("task", F.pmod(F.xxhash64("cid"), F.coalesce("tasks", F.lit(1))).cast("int"))
     member = dealt.join(payload, "cid").select("rep", "task", "cid", "text")
     head = spans.join(payload.withColumnRenamed("cid", "rep"), "rep").select("rep", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(None).cast("binary").alias("cid"), "text")
 
