@@ -646,6 +646,16 @@ def oob_scope(spark, sf_dir):
     return oob.get(scoped, "s:a").select("key", F.decode("value", "UTF-8").alias("value"))
 
 
+@query(
+    "entropy",
+    "SELECT event_id, round(-sum(p * log2(p)) / 8, 9) AS entropy FROM (SELECT event_id, count(*) * 1.0 / any_value(n) AS p FROM (SELECT event_id, length(event_type) AS n, unnest(string_split(event_type, '')) AS c FROM events) GROUP BY event_id, c) GROUP BY event_id",
+)
+def entropy(spark, sf_dir):
+    from .functions.blob import entropy_udf
+
+    return table(spark, sf_dir, "events").select("event_id", F.round(entropy_udf(F.encode("event_type", "UTF-8")), 9).alias("entropy"))
+
+
 # --- the store over the fixed schema -----------------------------------------------------------------------------
 
 

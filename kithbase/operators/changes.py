@@ -26,11 +26,6 @@ def mark(df: DataFrame, touched: Column, what: int, recording: Column | bool = F
     return out.withColumn(unhandled, F.when(touched & recording, marked(F.col(unhandled), what)).otherwise(F.col(unhandled))) if unhandled in df.columns else out
 
 
-def record_modified(df: DataFrame, touched: Column, aggregate: Column, from_sync: bool) -> DataFrame:
-    """A modification is flagged unless a sync or an aggregation writes it."""
-    return df if from_sync else mark(df, touched & ~aggregate, MODIFIED)
-
-
 def soft_delete(df: DataFrame, ids: DataFrame, now: Column, key: str = "contactId", recording: Column | bool = False) -> DataFrame:
     """Flags the ids deleted, with the time; rows already deleted stay as they are."""
     hit = ids.select(F.col(key)).distinct().withColumn("hit", F.lit(True))

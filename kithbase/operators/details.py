@@ -47,11 +47,6 @@ def assemble(records: DataFrame, details: dict[str, tuple[DataFrame, str, str, l
     return out
 
 
-def detail_rows(header: DataFrame, payload: DataFrame, kind: str, sync: bool = False) -> DataFrame:
-    """Header and payload of one type, as the typed tables are stored."""
-    return visible(header.filter(F.col("detail") == kind), sync).join(payload.drop("contactId"), "detailId")
-
-
 def distinct_details(table: DataFrame, fields: list[str], detail_id: str, where: Column | None = None, order: list[Column] | None = None, most: int | None = None) -> DataFrame:
     """Distinct values of the fields with the largest detail id (maxId); newest first unless an order is given."""
     out = (table if where is None else table.filter(where)).groupBy(*fields).agg(F.max(detail_id).alias("maxId"))

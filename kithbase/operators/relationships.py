@@ -40,11 +40,6 @@ def remove(existing: DataFrame, gone: DataFrame) -> DataFrame:
     return existing.join(gone.select("firstId", "secondId", "type"), ["firstId", "secondId", "type"], "left_anti").select(*existing.columns)
 
 
-def roles(edges: DataFrame, key: str = "contactId") -> DataFrame:
-    """Every record with its edges in both roles; an edge in both has two rows."""
-    return edges.select(F.col("firstId").alias(key), F.lit("first").alias("role"), "type", F.col("secondId").alias("other")).union(edges.select("secondId", F.lit("second"), "type", "firstId"))
-
-
 def childless(aggregates: DataFrame, edges: DataFrame, key: str = "contactId", kind: str = "Aggregates") -> DataFrame:
     """Aggregates without a constituent."""
     return aggregates.join(edges.filter(F.col("type") == kind).select(F.col("firstId").alias(key)), key, "left_anti")

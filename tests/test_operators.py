@@ -52,6 +52,30 @@ def test_scores_collapse_and_exclusion(spark):
     assert links.count() == len(ROWS) and new.count() == sum(not r[1] for r in ROWS) and new.agg(F.min("contactId")).first()[0] == 500
 
 
+def test_best_matches_by_hand(spark):
+    """The best target of each probe, as scores() of all pairs have it: with exclusions, genders, blanks, and probes among themselves."""
+    import numpy as np
+
+    rng = np.random.RandomState(3)
+    pick = lambda *a: a[rng.randint(len(a))]
+    people = lambda ids: spark.createDataFrame([(i, pick(None, "", "Mira", "mira", "Tobe"), pick(None, "Orth", "orth", "Lund"), int(rng.randint(3))) for i in ids], "id long, firstName string, lastName string, gender int")
+    probes, targets = people(range(40)), people(range(100, 130))
+    value = lambda ids, k: spark.createDataFrame([(i, f"{k}{rng.randint(4)}") for i in ids if rng.rand() < 0.7 for _ in range(2)], "id long, value string")
+    points = {k: (value(range(40), k), value(range(100, 130), k)) for k in ("nickname", "email", "phone", "account")}
+    barred = spark.createDataFrame([(int(rng.randint(40)), int(rng.randint(100, 130))) for _ in range(60)], "probe_id long, target_id long")
+    copy = lambda df: df.toDF(*df.columns)
+    for excluded in (None, barred):
+        every = [(r.probe_id, r.score, False, r.target_id) for r in matching.scores(probes, targets, points, excluded).collect()]
+        own = [(r.probe_id, r.score, True, r.target_id) for r in matching.scores(probes, copy(probes), {k: (v[0], copy(v[0])) for k, v in points.items()}).collect() if r.target_id < r.probe_id]
+        for within, pairs in ((False, every), (True, every + own)):
+            want = {}
+            for probe, score, among, target in pairs:
+                if score >= matching.THRESHOLD:
+                    want[probe] = min(want.get(probe, (0, True, 0)), (-score, among, target))
+            got = {r.probe_id: (-r.score, r.among, r.target_id) for r in matching.best_matches(probes, targets, points, excluded, within).collect()}
+            assert got == want and len(want) > 10
+
+
 def test_merge_precedence(spark):
     rows = [(1, 0, False, "Ines", "Capt.", None), (2, 1, True, "Juno", None, None), (3, 2, False, "Kaya", None, "Jr."), (4, 3, False, "Lior", "", "")]
     df = spark.createDataFrame(rows, "id int, edge int, local boolean, middle string, prefix string, suffix string").withColumn("agg", F.lit(9))
