@@ -25,6 +25,8 @@ from .store import slim_batches
 NONE = np.int32(2**31 - 1)
 #: Bytes of text that share a dictionary, and words that a worker remembers.
 BLOCK, REMEMBERED = 8 << 20, 400_000
+#: Words or ids that are looked up at once, so that index arrays stay small beside the texts.
+AT_ONCE = 1 << 16
 
 
 class Ranks:
@@ -177,10 +179,13 @@ class Ranks:
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids."""
-        size = self.length[ids]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        return self.bytes[np.arange(total) + np.repeat(self.start[ids] - (end - size), size)]
+        out = [np.zeros(0, np.uint8)]
+        for k in range(0, len(ids), AT_ONCE):
+            part = ids[k : k + AT_ONCE]
+            size = self.length[part]
+            end = np.cumsum(size)
+            out.append(self.bytes[np.arange(end[-1]) + np.repeat(self.start[part] - (end - size), size)])
+        return np.concatenate(out)
 
 
 class Encoder:
@@ -199,21 +204,24 @@ class Encoder:
         if len(self.place) > REMEMBERED:
             self._clear()
         place, find = self.place, self.find
-        words, edges = [], [0]
+        fresh, at, edges = [], [], [0]
         for text in block:
-            words += find(text)
-            edges.append(len(words))
-        fresh = [w for w in dict.fromkeys(words) if w not in place]
+            words = find(text)
+            new = [w for w in dict.fromkeys(words) if w not in place]
+            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+            fresh += new
+            at.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
+            edges.append(edges[-1] + len(words))
         if fresh:
             ids, off = self.ranks.replay([w.encode() for w in fresh])
-            place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
             self.ids, self.off = np.concatenate([self.ids, ids]), np.concatenate([self.off, self.off[-1] + off[1:]])
-        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-        begin = self.off[at]
-        size = self.off[at + 1] - begin
-        end = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.arange(end[-1]) + np.repeat(begin - end[:-1], size)]
-        return ids, end[edges]
+        at = np.concatenate(at) if at else np.zeros(0, np.int32)
+        end = np.concatenate([[0], np.cumsum(self.off[at + 1] - self.off[at])])
+        out = np.empty(end[-1], np.int32)
+        for k in range(0, len(at), AT_ONCE):
+            begin, to = self.off[at[k : k + AT_ONCE]], end[k : k + AT_ONCE + 1]
+            out[to[0] : to[-1]] = self.ids[np.arange(to[0], to[-1]) + np.repeat(begin - to[:-1], np.diff(to))]
+        return out, end[edges]
 
 
 def pieces(array: pa.Array, most: int = BLOCK):
