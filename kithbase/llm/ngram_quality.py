@@ -26,6 +26,8 @@ FAMILIES = ("word", "pair", "bytes4")
 SAMPLE = 4_000
 THRESHOLD = 0.5
 STEPS, PENALTY = 150, 1e-4
+#: Features that a step of the fit holds at once, beside the table of all.
+AT_ONCE = 1 << 18
 
 
 @dataclass
@@ -86,6 +88,15 @@ def _train_rows(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), places, values], ["id", "y", "places", "vals"])
 
 
+def _sums(index: np.ndarray, weights, size: int) -> np.ndarray:
+    """Sums by index of weights(slice), slice by slice."""
+    out = np.zeros(size)
+    for k in range(0, len(index), AT_ONCE):
+        at = slice(k, k + AT_ONCE)
+        out += np.bincount(index[at], weights(at), size)
+    return out
+
+
 def fit(y: np.ndarray, rows: np.ndarray, places: np.ndarray, values: np.ndarray) -> Regression:
     """rows, places, values: the non-zero features. Without rows, or with one class, the probability is that class's smoothed share (0.5 for no rows)."""
     dims, n = len(FAMILIES) << BITS, len(y)
@@ -96,24 +107,25 @@ def fit(y: np.ndarray, rows: np.ndarray, places: np.ndarray, values: np.ndarray)
         return Regression(w.reshape(len(FAMILIES), -1), bias, 1.0, 0.0)
     check = np.arange(n) % 5 == 4
     use = ~check[rows]
-    r, p, v = rows[use], places[use], values[use].astype(float)
+    r, p, v = rows[use], places[use], values[use].astype(np.float32)
     # Relative frequencies are small; scaling each feature by its root mean square lets plain Adam converge in few steps.
-    scale = 1 / np.sqrt(np.bincount(p, v * v, dims) / max(1, (~check).sum()) + 1e-6)
-    v *= scale[p]
+    scale = 1 / np.sqrt(_sums(p, lambda at: v[at].astype(float) ** 2, dims) / max(1, (~check).sum()) + 1e-6)
+    for k in range(0, len(p), AT_ONCE):
+        v[k : k + AT_ONCE] *= scale[p[k : k + AT_ONCE]]
     # One constant for all rows, so that what is fitted is what scores: the mean square length of a row is 1.
-    length = np.sqrt((v * v).sum() / max(1, (~check).sum()))
+    length = np.sqrt(_sums(r, lambda at: v[at].astype(float) ** 2, n).sum() / max(1, (~check).sum()))
     v /= length
     m1, m2, b1, b2 = np.zeros(dims), np.zeros(dims), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        z = np.bincount(r, w[p] * v, n) + bias
+        z = _sums(r, lambda at: w[p[at]] * v[at], n) + bias
         err = np.where(check, 0, 1 / (1 + np.exp(-z)) - y) / (~check).sum()
-        g, gb = np.bincount(p, v * err[r], dims) + PENALTY * w / dims, err.sum()
+        g, gb = _sums(p, lambda at: v[at] * err[r[at]], dims) + PENALTY * w / dims, err.sum()
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
         w -= 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
         bias -= 0.05 * (b1 / (1 - 0.9**t)) / (np.sqrt(b2 / (1 - 0.99**t)) + 1e-8)
     w = w * scale / length
-    z = np.bincount(rows, w[places] * values, n)
+    z = _sums(rows, lambda at: w[places[at]] * values[at], n)
     spread = z[~check].std() + 1e-9
     w, z = w / spread, z / spread
     slope, shift = 1.0, 0.0
@@ -134,14 +146,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     """Fits on at most `sample` labelled ids, one text each; only their hashed features reach the driver."""
     slim_batches(docs.sparkSession)
     own = sampled(docs, labels, F.col(label).isNotNull(), label, sample)
-    got = own.mapInArrow(_train_rows, f"id {own.schema['id'].dataType.simpleString()}, y double, places array<int>, vals array<float>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
-    flat = lambda c: got.column(c).combine_chunks()
-    lists = flat("places")
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    counts = np.asarray(lists.value_lengths())
-    vals = flat("vals")
-    vals = vals.chunk(0) if isinstance(vals, pa.ChunkedArray) else vals
-    return fit(np.asarray(got.column("y"), float), np.repeat(np.arange(len(counts)), counts), np.asarray(lists.flatten()), np.asarray(vals.flatten()))
+    got = own.mapInArrow(_train_rows, f"id {own.schema['id'].dataType.simpleString()}, y double, places array<int>, vals array<float>").toArrow()
+    got = got.sort_by([("id", "ascending"), ("y", "ascending")])
+    got = got.combine_chunks()
+    column = lambda c: x.chunk(0) if isinstance(x := got.column(c).combine_chunks(), pa.ChunkedArray) else x
+    counts = np.asarray(column("places").value_lengths())
+    rows = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    return fit(np.asarray(got.column("y"), float), rows, np.asarray(column("places").flatten()), np.asarray(column("vals").flatten()))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
