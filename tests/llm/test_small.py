@@ -392,3 +392,34 @@ def test_held_out_quality(spark, name):
     out = QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     rows = out.filter("held_out").select("predicted", "quality").collect() if "held_out" in out.columns else out.filter("not base_failed").selectExpr("int(kept)", "quality").collect()
     assert len(rows) > 50 and sum(a == b for a, b in rows) >= 0.95 * len(rows)
+
+
+def test_look_ups_in_pieces(monkeypatch):
+    """However many words or ids are looked up at once, ids, edges and bytes are those of the library."""
+    import tiktoken
+
+    ranks = bpe.Ranks(BLOB)
+    encoding = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks={x: i for i, x in enumerate(ranks.tokens) if x}, special_tokens={})
+    block = ["", "a", "one two  two\n\nthree", "", "naïve 東京 🙂🙂", "x" * 300 + " 12345", "one two", ""]
+    want = [encoding.encode_ordinary(s) for s in block]
+    for most in (1, 2, 7, 1 << 16):
+        monkeypatch.setattr(bpe, "AT_ONCE", most)
+        coder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+        for _ in range(2):  # all words are known the second time
+            ids, edges = coder.encode(block)
+            assert [ids[a:z].tolist() for a, z in zip(edges[:-1], edges[1:], strict=True)] == want
+            assert coder.ranks.decode(ids).tobytes() == "".join(block).encode()
+        assert [len(x) for x in coder.encode([])] == [0, 1] and [len(x) for x in coder.encode([""])] == [0, 2]
+        assert coder.ranks.decode(np.zeros(0, np.int32)).tobytes() == b""
+
+
+def test_fit_in_slices(monkeypatch):
+    rng = np.random.RandomState(3)
+    n, y = 200, (rng.rand(200) < 0.5).astype(float)
+    rows = np.repeat(np.arange(n, dtype=np.int32), 30)
+    places = (rng.randint(0, 400, len(rows)) + 300 * y[rows].astype(int)).astype(np.int32)
+    values = rng.rand(len(rows)).astype(np.float32) / 30
+    one = ngram_quality.fit(y, rows, places, values)
+    monkeypatch.setattr(ngram_quality, "AT_ONCE", 64)
+    two = ngram_quality.fit(y, rows, places, values)
+    assert np.allclose(one.weights, two.weights) and np.allclose([one.slope, one.shift], [two.slope, two.shift])
