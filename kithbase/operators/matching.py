@@ -1,7 +1,8 @@
 """Entity resolution: which aggregate a new record belongs to.
 
 scores() lists scored pairs: nine branches as equi-joins, added up by pair,
-with blocking on names. best_matches() finds the best target of each probe by
+with blocking on names; pairs of classes of people who are alike, to which
+their members come last. best_matches() finds the best target of each probe by
 the keys that both share, without listing pairs. attach() turns matches into
 edges, and into new aggregates where there is none.
 """
@@ -20,56 +21,79 @@ from ..sources.shared import discard, stash
 # Scores of the branches and the threshold.
 FULL_NAME, NICKNAME_ONLY, FIRST_NAME, LAST_NAME, CONTACT_POINT, SAME_NICKNAME = 20, 15, 12, 12, 3, 1
 THRESHOLD = 15
+#: Fixed value: members of a class that stand in one row.
+PACK = 1024
 
 
 def _low(c: str) -> Column:
     return F.lower(F.coalesce(F.trim(F.col(c)), F.lit("")))
 
 
-def _names(people: DataFrame, side: str) -> DataFrame:
-    """id and lower names of one side."""
-    return people.select(F.col("id").alias(f"{side}_id"), _low("firstName").alias(f"{side}_first"), _low("lastName").alias(f"{side}_last"), F.coalesce(F.col("gender"), F.lit(0)).alias(f"{side}_gender"))
-
-
-def _points(table: DataFrame | None, side: str) -> DataFrame | None:
-    return None if table is None else table.filter(~blank(F.col("value"))).select(F.col("id").alias(f"{side}_id"), F.lower("value").alias("value")).distinct()
-
-
-def scores(probes: DataFrame, targets: DataFrame, points: dict[str, tuple[DataFrame, DataFrame]], excluded: DataFrame | None = None) -> DataFrame:
-    """probe_id, target_id, score of all pairs that share something.
-
-    probes, targets: id, firstName, lastName, gender (0 none, 1 and 2 opposite).
-    points: nickname, email, phone (minimised), account -> two tables of id,
-    value. excluded: probe_id, target_id that must not match. Equal scores of
-    one pair count once: sharing an email and a phone is worth no more than
-    either. The result lists pairs, so a value that n probes and m targets
-    share makes n * m rows; best_matches() finds the best target of each probe
-    without them.
-    """
-    p, t = _names(probes, "probe"), _names(targets, "target")
-    nick = tuple(_points(x, s) for x, s in zip(points["nickname"], ("probe", "target"), strict=True)) if "nickname" in points else None
+def _classes(people: DataFrame, points: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Those that share all that scores depend on are one class, named by its least id: class, first, last, gender, points (kind and value) of the classes; class, pack, ids of their members, packs being of at most some PACK ids."""
+    own = people.filter("id IS NOT NULL").select("id", _low("firstName").alias("first"), _low("lastName").alias("last"), F.coalesce(F.col("gender"), F.lit(0)).alias("gender"))
+    kind = "array<struct<kind:string,value:string>>"
+    values = [t.filter(~blank(F.col("value"))).select("id", F.struct(F.lit(k).alias("kind"), F.lower("value").alias("value")).alias("x")) for k, t in points.items()]
+    if values:
+        own = own.join(reduce(DataFrame.union, values).groupBy("id").agg(F.sort_array(F.collect_set("x")).cast(kind).alias("points")), "id", "left")
+    own = stash(own.withColumn("points", F.coalesce("points", F.array().cast(kind)) if values else F.array().cast(kind)), "people")
+    same = ["first", "last", "gender", "points"]
+    classes = stash(own.groupBy(*same).agg(F.min("id").alias("class"), F.count("*").alias("n")), "classes")
+    placed = own.join(classes, same).select("class", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PACK)).alias("pack"), "id")
+    packs = stash(placed.groupBy("class", "pack").agg(F.collect_list("id").alias("ids")), "packs")
+    discard(own)
+    return classes.drop("n"), packs
+
+
+def class_scores(probes: DataFrame, targets: DataFrame) -> DataFrame:
+    """probe, target, score of all pairs of classes (class, first, last, gender, points) that share something."""
+    names = lambda people, side: people.select(F.col("class").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("first", "last", "gender")])
+    p, t = names(probes, "probe"), names(targets, "target")
+    value = lambda people, side: people.select(F.col("class").alias(side), F.explode("points").alias("x")).select(side, "x.*")
     nameless = lambda side: (F.col(f"{side}_first") == "") & (F.col(f"{side}_last") == "")
-    pair = lambda df, score: df.select("probe_id", "target_id", F.lit(score).alias("score"))
+    pair = lambda df, score: df.select("probe", "target", F.lit(score).alias("score"))
     same = lambda part: (F.col(f"probe_{part}") == F.col(f"target_{part}")) & (F.col(f"probe_{part}") != "")
     branches = [pair(p.join(t, same("first") & same("last")), FULL_NAME)]
     for part, other, score in (("first", "last", FIRST_NAME), ("last", "first", LAST_NAME)):
         # Only those without the other part meet everybody of that name.
         branches.append(pair(p.filter(F.col(f"probe_{other}") == "").join(t, same(part)), score))
         branches.append(pair(p.filter(F.col(f"probe_{other}") != "").join(t.filter(F.col(f"target_{other}") == ""), same(part)), score))
-    if nick:
-        shared = nick[0].join(nick[1], "value").select("probe_id", "target_id").distinct()
-        both = shared.join(p.filter(nameless("probe")).select("probe_id"), "probe_id", "left_semi").join(t.filter(nameless("target")).select("target_id"), "target_id", "left_semi")
-        branches += [pair(both, NICKNAME_ONLY), pair(shared, SAME_NICKNAME)]
-    for kind in ("email", "phone", "account"):
-        if kind in points:
-            one, two = (_points(x, s) for x, s in zip(points[kind], ("probe", "target"), strict=True))
-            branches.append(pair(one.join(two, "value"), CONTACT_POINT))
-    total = reduce(DataFrame.union, branches).distinct().groupBy("probe_id", "target_id").agg(F.sum("score").cast("long").alias("score"))
+    shared = value(probes, "probe").join(value(targets, "target"), ["kind", "value"])
+    nick = shared.filter("kind = 'nickname'")
+    branches.append(pair(nick.join(p.filter(nameless("probe")).select("probe"), "probe", "left_semi").join(t.filter(nameless("target")).select("target"), "target", "left_semi"), NICKNAME_ONLY))
+    branches.append(shared.select("probe", "target", F.when(F.col("kind") == "nickname", SAME_NICKNAME).otherwise(CONTACT_POINT).alias("score")))
+    total = reduce(DataFrame.union, branches).distinct().groupBy("probe", "target").agg(F.sum("score").cast("long").alias("score"))
     # Blocking: last names agree or one is blank, nobody with a name meets somebody with a nickname alone, genders aren't opposite.
-    allowed = total.join(p, "probe_id").join(t, "target_id")
+    allowed = total.join(p, "probe").join(t, "target")
     allowed = allowed.filter(((F.col("probe_last") == F.col("target_last")) | (F.col("probe_last") == "") | (F.col("target_last") == "")) & (nameless("probe") == nameless("target")))
-    allowed = allowed.filter(F.col("probe_gender") + F.col("target_gender") != 3).select("probe_id", "target_id", "score")
-    return allowed if excluded is None else allowed.join(excluded.select("probe_id", "target_id"), ["probe_id", "target_id"], "left_anti")
+    return allowed.filter(F.col("probe_gender") + F.col("target_gender") != 3).select("probe", "target", "score")
+
+
+def scores(probes: DataFrame, targets: DataFrame, points: dict[str, tuple[DataFrame, DataFrame]], excluded: DataFrame | None = None) -> DataFrame:
+    """probe_id, target_id, score of all pairs that share something.
+
+    probes, targets: id (unique on its side), firstName, lastName, gender (0
+    none, 1 and 2 opposite). points: nickname, email, phone (minimised),
+    account -> two tables of id, value. excluded: probe_id, target_id that
+    must not match. Equal scores of one pair count once: sharing an email and
+    a phone is worth no more than either.
+
+    Scored are pairs of classes, of people who agree in all that counts;
+    their members are put in at the end, packs against packs, and those pairs
+    are only written out. So joins and sums don't grow with the numbers of
+    copies, but the result does: a value that n probes and m targets share
+    makes n * m rows. best_matches() finds the best target of each probe
+    without them.
+    """
+    p, of_p = _classes(probes, {k: v[0] for k, v in points.items()})
+    t, of_t = _classes(targets, {k: v[1] for k, v in points.items()})
+    packs = lambda df, side: df.select(F.col("class").alias(side), F.col("pack").alias(f"{side}_pack"), F.col("ids").alias(f"{side}_ids"))
+    units = class_scores(p, t).join(packs(of_p, "probe"), "probe").join(packs(of_t, "target"), "target")
+    # By number, as a plan by size would put a few MB of packs, and all the pairs they stand for, into one task.
+    spark = probes.sparkSession
+    dealt = units.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "probe", "probe_pack", "target", "target_pack")
+    out = dealt.select(F.explode("probe_ids").alias("probe_id"), "target_ids", "score").select("probe_id", F.explode("target_ids").alias("target_id"), "score")
+    return out if excluded is None else out.join(excluded.select("probe_id", "target_id"), ["probe_id", "target_id"], "left_anti")
 
 
 def best(pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

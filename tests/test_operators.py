@@ -76,6 +76,22 @@ def test_best_matches_by_hand(spark):
             assert got == want and len(want) > 10
 
 
+def test_scores_of_classes(spark, monkeypatch):
+    """Copies are scored once, as one pair of classes, and all pairs of their members come out, however they are packed."""
+    monkeypatch.setattr(matching, "PACK", 7)
+    people = lambda n, start: spark.createDataFrame([(start + i, "Mira " if i % 2 else "mira", "Orth", 1) for i in range(n)] + [(start + n, "", None, None), (start + n + 1, None, "", 2)], "id long, firstName string, lastName string, gender int")
+    probes, targets = people(60, 0), people(90, 1000)
+    value = lambda n, start: spark.createDataFrame([(start + i, v) for i in range(n + 2) for v in ("A@x.org", "a@X.org", "", None)] + [(start + n, "b@x.org")], "id long, value string")
+    points = {"email": (value(60, 0), value(90, 1000))}
+    p, packs = matching._classes(probes, {"email": points["email"][0]})
+    t, _ = matching._classes(targets, {"email": points["email"][1]})
+    assert sorted((r["class"], len(r.points)) for r in p.collect()) == [(0, 1), (60, 2), (61, 1)]
+    assert sorted(i for r in packs.collect() for i in r.ids) == list(range(62)) and packs.count() > 8
+    assert {(r.probe, r.target): r.score for r in matching.class_scores(p, t).collect()} == {(0, 1000): 23, (60, 1090): 3, (60, 1091): 3, (61, 1090): 3, (61, 1091): 3}
+    got = sorted(tuple(r) for r in matching.scores(probes, targets, points).collect())
+    assert got == sorted([(i, 1000 + j, 23) for i in range(60) for j in range(90)] + [(60 + i, 1090 + j, 3) for i in range(2) for j in range(2)])
+
+
 def test_merge_precedence(spark):
     rows = [(1, 0, False, "Ines", "Capt.", None), (2, 1, True, "Juno", None, None), (3, 2, False, "Kaya", None, "Jr."), (4, 3, False, "Lior", "", "")]
     df = spark.createDataFrame(rows, "id int, edge int, local boolean, middle string, prefix string, suffix string").withColumn("agg", F.lit(9))
