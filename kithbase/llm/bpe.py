@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .lexer import texts
-from .store import slim_batches
+from .store import lean, slim_batches
 
 NONE = np.int32(2**31 - 1)
 #: Bytes of text that share a dictionary, and words that a worker remembers.
@@ -289,4 +289,4 @@ def encode(docs: DataFrame, blob: bytes, pattern: str, emit: str = "digest") ->
                     columns |= {"n_tokens": pa.array(np.diff(edges)), "ids_sha256": pa.array(sha(ids.astype("<u4"), edges)), "decoded_sha256": pa.array(sha(flat, cut))}
                 yield pa.RecordBatch.from_arrays([columns[c] for c in (*passed, *new)], [*passed, *new])
 
-    return own.mapInArrow(rows, StructType([*(own.schema[c] for c in passed), *(StructField(c, kinds[c]) for c in new)]))
+    return own.mapInArrow(lean(rows), StructType([*(own.schema[c] for c in passed), *(StructField(c, kinds[c]) for c in new)]))

@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .features import NAMES, features, sampled
 from .lexer import blocks
-from .store import slim_batches
+from .store import lean, slim_batches
 
 BINS, PAIR_BINS, PAIRS, ROUNDS, RATE, PRIOR = 64, 12, 6, 200, 0.1, 5.0
 #: Most labelled rows that the fit uses: those with the lowest hashes of their ids.
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x[:, j]) for j in range(len(NAMES)))], ["id", "y", *NAMES])
 
     own = labelled(docs, labels, sample=sample)
-    got = own.mapInArrow(rows, f"id {own.schema['id'].dataType.simpleString()}, y double, " + ", ".join(f"{n} double" for n in NAMES)).toPandas().sort_values(["id", "y"])
+    got = own.mapInArrow(lean(rows), f"id {own.schema['id'].dataType.simpleString()}, y double, " + ", ".join(f"{n} double" for n in NAMES)).toPandas().sort_values(["id", "y"])
     return fit(got[list(NAMES)].to_numpy(float), got["y"].to_numpy(float))
 
 
@@ -164,7 +164,7 @@ def scored(docs: DataFrame, model: Additive, keep: float | None = None) -> DataF
                 else:
                     yield part.filter(pa.array(p >= keep))
 
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(lean(rows), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

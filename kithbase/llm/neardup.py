@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexer import Block, blocks, mix, salted
-from .store import discard, slim_batches, stash
+from .store import discard, lean, slim_batches, stash
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -42,6 +42,8 @@ SLOTS = BANDS * ROWS
 UNIT = 40  # times are integers, in 2**-40
 NEVER = np.uint64(2**64 - 1)
 MEMBERS_PER_TASK = 1000
+#: Texts that are sketched at once: each takes some 2,500 points, however short it is.
+TEXTS = 200
 #: Classes with more than so small a part of all rows are known by name (a hundred thousand at most).
 PART = 100_000
 #: Rounds of representatives; and how many of the most frequent shingles of unsettled texts are known by name.
@@ -191,6 +193,19 @@ def _cid(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
+def banded(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts of the block have words, and a row of bands for each of these."""
+    doc, s, n = shingles(b)
+    has = np.bincount(doc, minlength=b.n) > 0
+    out = [np.zeros((0, BANDS), np.int64)]
+    for k in range(0, b.n, TEXTS):
+        a, z = np.searchsorted(doc, [k, k + TEXTS])
+        if z > a:
+            some = has[k : k + TEXTS]
+            out.append(bands(signatures(doc[a:z] - k, s[a:z], n[a:z], len(some)))[some])
+    return has, np.concatenate(out)
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, cid, bands (empty for a text without words) of each row."""
     slim_batches(docs.sparkSession)
@@ -198,14 +213,12 @@ def sketch(docs: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             for part, b in blocks(batch, "text"):
-                doc, s, n = shingles(b)
-                has = np.bincount(doc, minlength=b.n) > 0
-                h = bands(signatures(doc, s, n, b.n))[has] if len(doc) else np.zeros((0, BANDS), np.int64)
+                has, h = banded(b)
                 off = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(off), pa.array(h.ravel()))], ["doc_id", "cid", "bands"])
 
     own = docs.select("doc_id", _cid().alias("cid"), "text")
-    return own.mapInArrow(rows, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, cid binary, bands array<long>")
+    return own.mapInArrow(lean(rows), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, cid binary, bands array<long>")
 
 
 def _shared(classes: DataFrame) -> DataFrame:
@@ -271,7 +284,7 @@ def verify(pairs: DataFrame, payload: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.float64()), strict=True)], ["cid", "rep", "similarity"])
 
-    return member.union(head).repartition("rep", "task").sortWithinPartitions("rep", "task", F.asc_nulls_first("cid")).mapInArrow(rows, "cid binary, rep binary, similarity double")
+    return member.union(head).repartition("rep", "task").sortWithinPartitions("rep", "task", F.asc_nulls_first("cid")).mapInArrow(lean(rows), "cid binary, rep binary, similarity double")
 
 
 def _bags(df: DataFrame, rows, schema: str) -> DataFrame:
@@ -282,7 +295,7 @@ def _bags(df: DataFrame, rows, schema: str) -> DataFrame:
             for part, b in blocks(batch, "text"):
                 yield rows(part, *shingles(b))
 
-    return df.select("cid", "comp", "text").mapInArrow(run, schema)
+    return df.select("cid", "comp", "text").mapInArrow(lean(run), schema)
 
 
 def _unsettled(texts: DataFrame, similarity: float) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from .lexer import bytes_of, texts
 from .pii_table import LINES, parsed
-from .store import slim_batches
+from .store import lean, slim_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -474,7 +474,7 @@ def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, n), pa.array(digest), pa.array(spans)], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     own = docs.select("doc_id", "text")
-    return own.mapInArrow(rows, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return own.mapInArrow(lean(rows), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -496,5 +496,5 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 batch = batch.set_column(k, batch.schema.field(k), pa.array(column, batch.schema.field(k).type))
             yield batch
 
-    out = docs.mapInArrow(rows, StructType(docs.schema.fields))
+    out = docs.mapInArrow(lean(rows), StructType(docs.schema.fields))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out

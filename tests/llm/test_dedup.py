@@ -132,3 +132,24 @@ def test_agreement_is_weighted_jaccard():
         s = neardup.signatures(np.repeat([0, 1], 6), np.concatenate([element, element]), np.concatenate([a, b]), 2)
         error.append((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum())
     assert abs(np.mean(error[40:])) < 0.015 and np.std(error[40:]) < 0.06
+
+
+def test_sketches_of_short_texts_take_little_memory():
+    """Texts are sketched some at a time, with the bands that they have all at once: thousands of short ones in a block would take hundreds of MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from kithbase.llm.lexer import Block
+
+    block = Block(pa.array(["" if i % 7 == 0 else " ".join(f"w{i * k % 997}" for k in range(1, 12)) for i in range(2000)]))
+    doc, s, n = neardup.shingles(block)
+    neardup.banded(Block(block.array.slice(0, 3)))
+    tracemalloc.start()
+    has, got = neardup.banded(block)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+    some = doc < 450
+    want = neardup.bands(neardup.signatures(doc[some], s[some], n[some], 450))[has[:450]]
+    assert (got[: len(want)] == want).all() and len(got) == has.sum() == 2000 - len(range(0, 2000, 7))
