@@ -32,7 +32,8 @@ from .store import place, slim_batches
 SHARD_BYTES, FLUSH = 8 << 20, 1_500_000
 NO_THIRD = np.uint32(2**32 - 1)
 END = mix(np.array([0x0E4D], np.uint64))[0]
-SCORE_BLOCK = 2 << 20
+#: Tokens (some 8 MB of text) that are looked up at once, as each look-up opens nearly all shards; shards of n-grams for one of words.
+SCORE_TOKENS, WORD_SHARE = 1_250_000, 8
 
 
 def held_out() -> F.Column:
@@ -257,18 +258,20 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[str, dict]:
     own = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     shards = max(1, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
 
+    word_shards = max(1, shards // WORD_SHARE)  # words are far fewer than n-grams
+
     def dictionary(batches):
         for s, held in _by_shard(batches):
             h, c = _summed([(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)) for a, b in held])
             write(f"{base}/words-{s}", {"hash": h, "count": c, "before": np.cumsum(c) - c})
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (s, len(h), int(c.sum()), int((c == 1).sum()), int((c == 2).sum()))], ["shard", "n", "total", "n1", "n2"])
 
-    got = own.mapInArrow(_word_counts(shards), "shard int, a binary, b binary").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(dictionary, "shard long, n long, total long, n1 long, n2 long").collect()
-    per = {k: np.zeros(shards, np.int64) for k in ("n", "total")}
+    got = own.mapInArrow(_word_counts(word_shards), "shard int, a binary, b binary").repartition(word_shards, "shard").sortWithinPartitions("shard").mapInArrow(dictionary, "shard long, n long, total long, n1 long, n2 long").collect()
+    per = {k: np.zeros(word_shards, np.int64) for k in ("n", "total")}
     for r in got:
         per["n"][r.shard], per["total"][r.shard] = r.n, r.total
     meta = {
-        "word_shards": shards, "shards": shards, "words": per["n"], "id_base": np.cumsum(per["n"]) - per["n"], "count_base": np.cumsum(per["total"]) - per["total"],
+        "word_shards": word_shards, "shards": shards, "words": per["n"], "id_base": np.cumsum(per["n"]) - per["n"], "count_base": np.cumsum(per["total"]) - per["total"],
         "vocabulary": int(per["n"].sum()), "tokens": int(per["total"].sum()), "d1": discount(sum(r.n1 for r in got), sum(r.n2 for r in got)), "split": (np.zeros(0, np.int64), np.zeros(0)), "built": np.zeros(shards, bool),
     }
     if not meta["tokens"]:
@@ -336,11 +339,10 @@ class Model:
         self.m, self.words, self.levels, self.probabilities = meta, Words(base, meta), Files(base, _opened_levels), Files(base, _opened_probabilities)
         self.unknown = np.log10(max(meta["d1"] * meta["vocabulary"] / meta["tokens"], 1e-12)) if meta["tokens"] else 0.0
 
-    def score(self, array: pa.Array) -> tuple[np.ndarray, ...]:
-        """n_tokens, n_known, base score and score of each text."""
+    def score(self, seq: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+        """n_tokens, n_known, base score and score of each text of tokens()."""
         m = self.m
-        seq, edges = tokens(array)
-        known, at = np.unique(seq, return_inverse=True)
+        known, at = _distinct(seq)
         ids, count, before = self.words.look(known)
         scored = np.ones(len(seq), bool)
         scored[edges[:-1]] = False
@@ -352,16 +354,16 @@ class Model:
         p1 = np.where(count > 0, np.log10(np.maximum(count - m["d1"], 1e-9) / m["tokens"]), self.unknown)
         # pairs: (place of the first word, place of the second) in `known`
         i = np.flatnonzero(scored)
-        pair, pair_of = np.unique(at[i - 1].astype(np.int64) << 32 | at[i], return_inverse=True)
-        v, w = pair >> 32, pair & 0xFFFFFFFF
-        home = np.where(ids[v] >= 0, _home(count[v], before[v], np.where(ids[w] >= 0, before[w], 0), m["tokens"], m["shards"]), -1)
+        pair, pair_of = _distinct(at[i - 1].astype(np.int64) << 32 | at[i])
+        v, w = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
+        home = np.where(ids[v] >= 0, _home(count[v], before[v], np.where(ids[w] >= 0, before[w], 0), m["tokens"], m["shards"]), -1).astype(np.int32)
         # triples: (number of the pair before, place of the word)
         has = np.flatnonzero(scored[i - 1] if len(i) else i)
-        triple, triple_of = np.unique(pair_of[has - 1].astype(np.int64) << 32 | at[i[has]], return_inverse=True)
-        up, tw = triple >> 32, triple & 0xFFFFFFFF
+        triple, triple_of = _distinct(pair_of[has - 1].astype(np.int64) << 32 | at[i[has]])
+        up, tw = (triple >> 32).astype(np.int32), (triple & 0xFFFFFFFF).astype(np.int32)
         a2, g1 = np.full(len(pair), -np.inf), np.zeros(len(pair))
         g2, a3 = np.zeros(len(pair)), np.full(len(triple), -np.inf)
-        number = np.full(len(pair), -1, np.int64)
+        number = np.full(len(pair), -1, np.int32)
         order, torder = np.argsort(home, kind="stable"), np.argsort(home[up], kind="stable")
         cut, tcut = np.searchsorted(home[order], np.arange(m["shards"] + 1)), np.searchsorted(home[up][torder], np.arange(m["shards"] + 1))
         for s in np.flatnonzero((np.diff(cut) > 0) & m["built"]):
@@ -405,6 +407,33 @@ class Model:
         return np.diff(edges) - 1, n_known, base, per_doc(out, edges)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, rising, and where among them each key is, in four bytes."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, at.astype(np.int32)
+
+
+def gathered(batches):
+    """Record batches of whole texts, of about SCORE_TOKENS tokens together (one at least), with their tokens as tokens() gives them for all."""
+    held: list = []
+    size = 0
+
+    def joined():
+        parts, seqs, edges = zip(*held, strict=True)
+        begin = np.cumsum([0, *map(len, seqs)])
+        return parts, np.concatenate(seqs), np.concatenate([[0], *(e[1:] + b for e, b in zip(edges, begin, strict=False))])
+
+    for batch in batches:
+        for part, b in blocks(batch, "text"):
+            held.append((part, *tokens(b.array)))
+            size += len(held[-1][1])
+            if size >= SCORE_TOKENS:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
+
+
 def _first(inverse: np.ndarray, n: int) -> np.ndarray:
     """For each distinct value a place where it stands."""
     out = np.zeros(n, np.int64)
@@ -433,9 +462,11 @@ def score(docs: DataFrame, base: str, meta: dict) -> DataFrame:
 
     def rows(batches):
         model = _model(base, meta)
-        for batch in batches:
-            for part, b in blocks(batch, "text", SCORE_BLOCK):
-                n, known, plain, p = model.score(b.array)
+        for parts, seq, edges in gathered(batches):
+            got = model.score(seq, edges)
+            ends = np.cumsum([part.num_rows for part in parts])
+            for part, z in zip(parts, ends.tolist(), strict=True):
+                n, known, plain, p = (x[z - part.num_rows : z] for x in got)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(known), pa.array(np.full(len(n), meta["tokens"])), pa.array(plain), pa.array(p)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     own = docs.select("doc_id", "text", held_out().alias("held_out"))

@@ -117,3 +117,25 @@ def test_scores_against_dictionaries(spark):
     some = list(c1)[:50] + [END]
     for v in some[:10]:  # what a context gives to all words and the unknown one adds up to one
         assert math.isclose(sum(p(some[0], v, w, False) for w in c1) + p(some[0], v, "never seen", False), 1, rel_tol=1e-6)
+
+
+def test_small_batches_are_looked_up_together(spark, monkeypatch):
+    """Shards are opened once for many batches, not for each, and scores don't depend on what is looked up together."""
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60)
+    texts = [*(r.text for r in docs.collect()), None, ""]
+    base, meta = lm.train(docs, 1 << 15)
+    assert meta["shards"] > 3 * meta["word_shards"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t], pa.string())], ["text"]) for t in texts]
+    model, opened = lm.Model(base, meta), Counter()
+    get = Files.__getitem__
+    monkeypatch.setattr(Files, "__getitem__", lambda self, name: opened.update([name]) or get(self, name))
+    [(parts, seq, edges)] = lm.gathered(batches)
+    together = model.score(seq, edges)
+    assert len(parts) == len(texts) and sum(k.startswith("levels-") for k in opened) > 3 and set(opened.values()) == {1}
+    monkeypatch.setattr(lm, "SCORE_TOKENS", 1)
+    alone = [model.score(seq, edges) for _, seq, edges in lm.gathered(batches)]
+    assert len(alone) == len(texts)
+    for one, all_ in zip(zip(*alone, strict=True), together, strict=True):
+        assert (np.concatenate(one) == all_).all()
